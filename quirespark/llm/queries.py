@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import chunking, frequency, normalise, overlap
+from quirespark.llm import chunking, frequency, normalise, overlap, splits
 from quirespark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,19 @@ def _p1_overlap_counts(spark, d):
     return overlap.counts_by_source(table(spark, d, "manifest"), table(spark, d, "annotation_token"))
 
 
+def _p3_found(spark, d):
+    return splits.torn_sets(table(spark, d, "manifest"), table(spark, d, "manifest_head"))
+
+
+def _p3_splits(spark, d):
+    return splits.new_splits(table(spark, d, "manifest"), table(spark, d, "manifest_head"))
+
+
+def _p3_split_report(spark, d):
+    heads = table(spark, d, "manifest_head")
+    return splits.split_report(splits.new_splits(table(spark, d, "manifest"), heads), heads)
+
+
 def _p4_terms(spark, d):
     return frequency.label_terms(table(spark, d, "annotation_token"), table(spark, d, "semantic_labels_v1"))
 
@@ -48,12 +61,26 @@ def _p6_pieces(spark, d):
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
+        "p3_found": _p3_found, "p3_splits": _p3_splits, "p3_split_report": _p3_split_report,
         "p4_found": _p4_found, "p4_terms": _p4_terms,
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,
         "p6_found": _p6_found, "p6_pieces": _p6_pieces,
     }
 
 
+P3_FOUND = r"""
+WITH RECURSIVE rec AS (SELECT DISTINCT manifest_name AS m, id FROM manifest WHERE id IS NOT NULL AND manifest_name IS NOT NULL),
+ent AS (SELECT DISTINCT manifest_name AS m, id, unnest(map_keys(groups)) AS k, lower(trim(unnest(map_values(groups)))) AS v FROM manifest),
+tie AS (SELECT e.* FROM ent e JOIN manifest_head h ON h.name = e.m AND list_contains(h.split_strategy.grouping_keys, e.k)
+  WHERE v NOT IN ('', '-', '--', '?', 'n/a', 'na', 'n.a.', 'nan', 'nil', 'none', 'null', 'unknown', 'unk', 'undefined', 'not available', 'missing', 'tbd')),
+star AS (SELECT m, id, min(id) OVER (PARTITION BY m, k, v) AS lo FROM tie),
+edge AS (SELECT DISTINCT m, id AS a, lo AS b FROM star UNION SELECT DISTINCT m, lo, id FROM star),
+reach(m, a, b) AS (SELECT m, id, id FROM rec UNION SELECT r.m, r.a, e.b FROM reach r JOIN edge e ON e.m = r.m AND e.a = r.b),
+sets AS (SELECT m, a AS id, min(b) AS set_id FROM reach GROUP BY m, a),
+split AS (SELECT DISTINCT manifest_name AS m, id, CASE WHEN s IN ('train', 'training') THEN 'training' WHEN s IN ('val', 'dev', 'validation') THEN 'validation' WHEN s = 'test' THEN 'test' END AS split FROM (SELECT *, lower(trim(split)) AS s FROM manifest)),
+torn AS (SELECT m, set_id FROM sets JOIN split USING (m, id) GROUP BY m, set_id HAVING count(DISTINCT split) > 1)
+SELECT DISTINCT id, set_id FROM sets JOIN torn USING (m, set_id)"""
+
 P4_TERMS = """
 WITH once AS (SELECT DISTINCT document_id, page_index, token_index, label FROM annotation_token WHERE document_id IS NOT NULL),
 n AS (SELECT count(DISTINCT document_id) AS total FROM once),
@@ -79,6 +106,7 @@ HAVING sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{85}\
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": P3_FOUND,
         "p4_terms": P4_TERMS,
         "p4_found": f"SELECT field, term, mark FROM ({P4_TERMS}) WHERE mark IS NOT NULL",
         "p5_found": P5_FOUND,
