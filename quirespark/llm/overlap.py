@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.normalise import match_key
-from quirespark.session import BROADCAST_ROWS, maybe_broadcast, written
+from quirespark.session import maybe_broadcast, written
 
 #: Buckets of the weight table: 8 bytes each on the driver and in each Python worker.
 BUCKETS = 1 << 20
@@ -48,12 +48,10 @@ def split_name(column: str = "split"):
     return F.try_element_at(names, F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", "")))
 
 
-def record_texts(tokens: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def record_texts(tokens: DataFrame) -> DataFrame:
     """``document_id, text``: each record's token texts in order of page and token, one a line,
     repeated rows once. Tokens without text are left out."""
     rows = tokens.where(F.col("document_id").isNotNull() & F.col("text").isNotNull())
-    if ids is not None:
-        rows = rows.join(ids, "document_id", "left_semi")
     one = F.struct("page_index", "token_index", "text")
     return rows.groupBy("document_id").agg(F.sort_array(F.collect_set(one)).alias("t")).select("document_id", F.array_join(F.col("t.text"), "\n").alias("text"))
 
@@ -75,7 +73,7 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             row = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
             rows.append(row)
             keys.append(xxhash.xxh3_128_digest(row.tobytes()))
-        yield pd.DataFrame({"document_id": batch["document_id"], "key": keys, "words": rows})
+        yield batch.drop(columns="text").assign(key=keys, words=rows)
 
 
 def _mix(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -235,8 +233,10 @@ class Overlap:
         sides = records.where(F.col("id").isNotNull() & split.isNotNull()).groupBy(F.col("id").alias("document_id")).agg(
             F.bool_or(split == "training").alias("in_train"), F.bool_or(split != "training").alias("in_held")
         )
-        words = record_texts(tokens).mapInPandas(_words, "document_id string, key binary, words array<long>")
-        words = written(words.join(sides, "document_id").where(F.size("words") > 0), "overlap-words")
+        # the sides join where the texts lie already, so texts and words are shuffled once only
+        texts = record_texts(tokens).join(sides, "document_id").select("document_id", "in_train", "in_held", "text")
+        words = texts.mapInPandas(_words, "document_id string, in_train boolean, in_held boolean, key binary, words array<long>")
+        words = written(words.where(F.size("words") > 0), "overlap-words")
         classes = words.groupBy("key").agg(F.min("document_id").alias("rep"), F.bool_or("in_train").alias("class_train"), F.bool_or("in_held").alias("class_held"))
         self.members = written(words.drop("words").join(classes.select("key", "rep", "class_train", "class_held"), "key"), "overlap-members")
         others = maybe_broadcast(self.members.where("document_id != rep").select("document_id"))
@@ -255,9 +255,11 @@ class Overlap:
             .where(F.col("dot") + F.col("rest") >= F.col("bound") * (1 - 1e-4) - 1e-3).select("rep_t", "rep_h", "bound")
         )
         pairs = written(pairs, "overlap-pairs")
-        hinted = maybe_broadcast(pairs, BROADCAST_ROWS // 2)
-        with_t = hinted.join(reps.select(F.col("rep").alias("rep_t"), F.col("words").alias("words_t")), "rep_t")
-        full = maybe_broadcast(written(with_t, "overlap-left"), 5_000).join(reps.select(F.col("rep").alias("rep_h"), F.col("words").alias("words_h")), "rep_h")
+        # only the records that are in a pair leave the table of words
+        ends = written(pairs.select(F.explode(F.array("rep_t", "rep_h")).alias("rep")).distinct(), "overlap-ends")
+        vectors = written(reps.select("rep", "words").join(maybe_broadcast(ends), "rep", "left_semi"), "overlap-vectors")
+        full = pairs.join(vectors.withColumnsRenamed({"rep": "rep_t", "words": "words_t"}), "rep_t").join(vectors.withColumnsRenamed({"rep": "rep_h", "words": "words_h"}), "rep_h")
+        full = full.select("rep_t", "rep_h", "words_t", "words_h", "bound")
         self.candidates = pairs
         self.links = written(full.mapInPandas(_verify(counts, buckets, rate), "rep_t string, rep_h string, distance int, cosine double"), "overlap-links")
 
