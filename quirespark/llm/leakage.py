@@ -155,35 +155,49 @@ def holds(item: np.ndarray, text: np.ndarray, least: int = LEAST, per: int = PER
     return False
 
 
-def _regions(seeds: list[tuple[int, int, int]], n_item: int, n_text: int) -> list[tuple[int, int]]:
-    """Parts of the document in which a passage around the seeds must lie."""
-    slack = n_item // 5 + 2
-    spans = sorted((max(0, d - e - slack), min(n_text, d + (n_item - e) + slack)) for d, e, _ in seeds)
-    out = [spans[0]]
-    for a, b in spans[1:]:
-        if a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _near(item: np.ndarray, text: np.ndarray, d: int, e: int, least: int, per: int) -> bool:
+    """Whether a passage may lie around a piece that ends at ``text[d]`` and ``item[e]``.
+
+    A passage of at least 2 * least words has a half that counts too, so shorter ones are enough:
+    they have at most ``(2 * least - 1) // per`` edits, and lie that close to the piece's diagonal. Some
+    ``least`` words in a row then have all but that share of them on a near diagonal."""
+    reach = 2 * least - 1
+    slack = reach // per
+    low, high = max(0, e - reach), min(len(item), e + reach + 1)
+    if high - low < least:
+        low, high = max(0, high - least), min(len(item), low + least)
+    part = item[low:high]
+    wide = np.full(len(part) + 2 * slack, -2, np.int64)
+    first = low + d - e - slack
+    a, b = max(0, first), min(len(text), first + len(wide))
+    wide[a - first : b - first] = text[a:b]
+    same = (np.lib.stride_tricks.sliding_window_view(wide, 2 * slack + 1) == part[:, None]).any(1)
+    sums = np.cumsum(np.concatenate(([0], same)))
+    return len(part) >= least and int((sums[least:] - sums[:-least]).max()) >= least - -(-least * slack // reach) - 1
 
 
 def leaks_of(automaton: Automaton, words: list[str], least: int = LEAST, per: int = PER) -> list[tuple[int, int, int]]:
     """``(item, first word, last word)`` of every item the words hold a passage of; the words are
-    the extent of the pieces that are found unchanged."""
+    the extent of the pieces that are found unchanged in and around it."""
     code = automaton.code
     codes = [code.get(w, -1) for w in words]
-    need = min(n - n // per for n in range(least, least + per))
     text = np.array(codes, np.int64)
+    reach = 2 * least - 1
     out = []
     for k, seeds in automaton.seeds(codes).items():
         item = automaton.items[k]
-        for a, b in _regions(seeds, len(item), len(words)):
-            part = text[a:b]
-            if np.isin(part, item).sum() < need or np.isin(item, part).sum() < need:
+        if len(item) < least:
+            continue
+        covered: list[tuple[int, int]] = []
+        for d, e, _ in sorted(seeds, key=lambda s: -s[2]):
+            if any(a <= d < b for a, b in covered) or not _near(item, text, d, e, least, per):
                 continue
-            if holds(item, part, least, per):
-                own = [(d - n + 1, d) for d, _, n in seeds if a <= d < b]
+            low, high = max(0, e - reach), min(len(item), e + reach + 1)
+            slack = reach // per + 1
+            if holds(item[low:high], text[max(0, d - e + low - slack) : max(0, d - e + high + slack)], least, per):
+                a, b = max(0, d - e - len(item) // per), d + len(item) - e + len(item) // per
+                covered.append((a, b))
+                own = [(x - n + 1, x) for x, _, n in seeds if a <= x < b]
                 out.append((k, min(x for x, _ in own), max(y for _, y in own)))
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import chunking, frequency, normalise, overlap, splits
+from quirespark.llm import chunking, frequency, leakage, normalise, overlap, splits
 from quirespark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,18 @@ def _p6_pieces(spark, d):
     return chunking.chunked_pages(table(spark, d, "annotation_token"))
 
 
+def _p7_found(spark, d):
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def _p7_leak_spans(spark, d):
+    return leakage.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def _p7_cleaned(spark, d):
+    return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
@@ -65,6 +77,7 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4_found, "p4_terms": _p4_terms,
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,
         "p6_found": _p6_found, "p6_pieces": _p6_pieces,
+        "p7_found": _p7_found, "p7_leak_spans": _p7_leak_spans, "p7_cleaned": _p7_cleaned,
     }
 
 
