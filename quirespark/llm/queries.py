@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import chunking, frequency, leakage, normalise, overlap, splits
+from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, splits, subjects
 from quirespark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,30 @@ def _p7_cleaned(spark, d):
     return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def _p8_mixture(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).rows
+
+
+def _p8_shares(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).report()
+
+
+def _p8_temperature(spark, d):
+    return mixing.temperature_report(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
+def _scored(spark, d):
+    return subjects.scored(table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject_area"))
+
+
+def _p9_found(spark, d):
+    return _scored(spark, d).where("subject IS NOT NULL").select("doc_id", "subject")
+
+
+def _p9_composition(spark, d):
+    return subjects.composition(_scored(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
@@ -78,6 +102,8 @@ def queries() -> dict[str, Query]:
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,
         "p6_found": _p6_found, "p6_pieces": _p6_pieces,
         "p7_found": _p7_found, "p7_leak_spans": _p7_leak_spans, "p7_cleaned": _p7_cleaned,
+        "p8_mixture": _p8_mixture, "p8_shares": _p8_shares, "p8_temperature": _p8_temperature,
+        "p9_found": _p9_found, "p9_composition": _p9_composition,
     }
 
 
