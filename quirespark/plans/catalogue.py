@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from quirespark.operators.nested import NestedTables, unreadable
+from quirespark.session import table
+
+
+def _nested(spark, d):
+    return NestedTables(table(spark, d, "annotation_raw"))
+
 
 def queries() -> dict:
-    return {}
+    return {
+        "p2_found": lambda s, d: _nested(s, d).labelled_tokens(),
+        "p2_documents": lambda s, d: _nested(s, d).documents(),
+        "p2_pages": lambda s, d: _nested(s, d).pages(),
+        "p2_tokens": lambda s, d: _nested(s, d).tokens(),
+        "p2_sharing": lambda s, d: _nested(s, d).sharing(),
+        "p2_unreadable": lambda s, d: unreadable(table(s, d, "annotation_raw")),
+    }
 
 
 def oracle_sql() -> dict:
