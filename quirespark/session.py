@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that Python workers can import it wherever they run."""
+    if getattr(spark, "_quire_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="quirespark-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quirespark", "zip", os.path.dirname(root), os.path.basename(root)))
+    spark._quire_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -45,6 +57,7 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     The table survives the loss of an executor. It is removed when the application ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{os.getpid()}-{uuid.uuid4().hex}"
     if partitions:
         df = df.repartition(partitions)
