@@ -37,7 +37,7 @@ UNSURE = 0.1
 ALIGNED = 0.6
 GRAMS = (3, 5)
 #: A sentence is about its best subject from this probability on.
-SURE = 0.3
+SURE = 0.4
 #: Least share of the sentences for a subject.
 SHARE = 1 / 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -194,23 +194,23 @@ def _examples(documents: DataFrame, labels: DataFrame, subjects: list[str], most
 
 
 def _round(names: list[str], sent, k: int):
-    """The task of one shard in round ``k``."""
-
-    def step(key, frame):
-        frame = frame.assign(order=frame["texts"].map(lambda t: "\n".join(t))).sort_values(["doc_id", "order"], ignore_index=True)
-        many, target = [], []
-        for texts, own in zip(frame["texts"], frame["subjects"]):
-            row = np.isin(names, list(own)).astype(np.float32)
-            for text in texts:
-                for s in sentences(text):
+    """The tasks of round ``k``: a task reads whole shards."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        for shard, frame in pd.concat(frames).groupby("shard") if frames else ():
+            frame = frame.assign(order=frame["texts"].map(lambda t: "\n".join(t))).sort_values(["doc_id", "order"], ignore_index=True)
+            many, target = [], []
+            for texts, own in zip(frame["texts"], frame["subjects"]):
+                row = np.isin(names, list(own)).astype(np.float32)
+                for s in (s for text in texts for s in sentences(text)):
                     many.append(words(s))
                     target.append(row)
-        if not many:
-            return pd.DataFrame({"shard": [int(key[0])], "n": [0], "change": [b""]})
-        change = run_shard(Model(names, *sent.value), many, np.array(target), k < PLAIN_ROUNDS, RATE, 1000 * k + int(key[0]))
-        return pd.DataFrame({"shard": [int(key[0])], "n": [len(many)], "change": [np.concatenate([c.ravel() for c in change]).astype(np.float32).tobytes()]})
+            if many:
+                change = run_shard(Model(names, *sent.value), many, np.array(target), k < PLAIN_ROUNDS, RATE, 1000 * k + int(shard))
+                yield pd.DataFrame({"shard": [int(shard)], "n": [len(many)], "change": [np.concatenate([c.ravel() for c in change]).astype(np.float32).tobytes()]})
 
-    return step
+    return run
 
 
 def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS) -> Model:
@@ -224,11 +224,11 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, most_labell
     model = Model.new(names)
     if not names:
         return model
-    examples = written(_examples(documents, labels, names, most_labelled).repartition(SHARDS, "shard"), "examples")
+    examples = written(_examples(documents, labels, names, most_labelled).repartitionById(SHARDS, F.col("shard")), "examples")
 
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((model.embed, model.out, model.bias))
-        got = [r for r in examples.groupBy("shard").applyInPandas(_round(names, sent, k), "shard int, n long, change binary").orderBy("shard").collect() if r["n"]]
+        got = sorted(examples.mapInPandas(_round(names, sent, k), "shard int, n long, change binary").collect())  # SHARDS rows of the model's size
         sent.unpersist()
         if not got:
             break
