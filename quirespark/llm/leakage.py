@@ -97,41 +97,32 @@ class Automaton:
         return new
 
     def seeds(self, codes: list[int]) -> dict[int, list[tuple[int, int, int]]]:
-        """By item: ``(last word in the document, last word in the item, words)`` of each longest piece."""
-        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        """By item: ``(last word in the document, last word in the item, words)`` of every piece of at least ``run``
+        words that can't be made longer."""
+        found: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(dict)
         state = length = 0
-        nxt, link, size = self.next, self.link, self.len
-        held = (0, 0)
-
-        def note(place: int) -> None:
-            s, n = held
-            while s > 0 and size[link[s]] >= n:
-                s = link[s]
-            for k, e in self.ends[s]:
-                found[k].append((place, e, n))
-            s = link[s]  # shorter pieces that other items hold
-            while s > 0 and size[s] >= self.run:
-                for k, e in self.ends[s]:
-                    found[k].append((place, e, size[s]))
-                s = link[s]
-
+        nxt, link, size, run = self.next, self.link, self.len, self.run
         for i, w in enumerate(codes):
-            before = length
             if w < 0:
                 state = length = 0
-            else:
-                while state and w not in nxt[state]:
-                    state = link[state]
-                    length = size[state]
-                if w in nxt[state]:
-                    state = nxt[state][w]
-                    length += 1
-            if before >= self.run and length <= before:
-                note(i - 1)
-            held = (state, length)
-        if length >= self.run:
-            note(len(codes) - 1)
-        return found
+                continue
+            while state and w not in nxt[state]:
+                state = link[state]
+                length = size[state]
+            if w in nxt[state]:
+                state = nxt[state][w]
+                length += 1
+            s, n = state, length
+            while n >= run:  # the longest piece that ends here, then the shorter ones of other places
+                for k, e in self.ends[s]:
+                    pieces = found[k].setdefault(i - e, [])
+                    if not pieces or pieces[-1][0] < i - 1:
+                        pieces.append((i, e, n))
+                    elif pieces[-1][0] == i - 1:
+                        pieces[-1] = (i, e, n)
+                s = link[s]
+                n = size[s] if s > 0 else 0
+        return {k: [p for pieces in d.values() for p in pieces] for k, d in found.items()}
 
 
 def holds(item: np.ndarray, text: np.ndarray, least: int = LEAST, per: int = PER) -> bool:
