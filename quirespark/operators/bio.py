@@ -29,20 +29,25 @@ def vocabulary_issues(labels: DataFrame) -> DataFrame:
     return named.unionByName(outside).where("issue IS NOT NULL").unionByName(twice).unionByName(pairs).unionByName(size)
 
 
-def _labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tokens with the ``prefix`` and ``entity_type`` of their label; ``known`` is null for a label outside the vocabulary."""
     names = labels.select(F.col("name").alias("label"), "prefix", "entity_type", F.lit(True).alias("known"))
     return tokens.join(maybe_broadcast(names), "label", "left")
 
 
-def sequence_issues(tokens: DataFrame, labels: DataFrame) -> DataFrame:
-    """``document_id, page_index, token_index, label, issue``: the first bad label of each page. An unknown label anywhere comes before an I that
-    continues nothing of its type. A null label is unknown. Equal indexes are ordered by label."""
-    known = _labelled(tokens.select(*_ORDER, "token_index", "label"), labels)
+def with_issue(known: DataFrame) -> DataFrame:
+    """Labelled tokens with the ``issue`` of their label, if any."""
     w = Window.partitionBy(*_ORDER).orderBy("token_index", "label")
     before = known.withColumns({"pp": F.lag("prefix").over(w), "pt": F.lag("entity_type").over(w)})
     continues = F.col("pp").isin("B", "I") & (F.col("pt") == F.col("entity_type"))
     issue = F.when(F.col("known").isNull(), "unknown_label").when((F.col("prefix") == "I") & ~F.coalesce(continues, F.lit(False)), "invalid_transition")
-    bad = before.withColumn("issue", issue).where("issue IS NOT NULL")
+    return before.withColumn("issue", issue)
+
+
+def sequence_issues(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """``document_id, page_index, token_index, label, issue``: the first bad label of each page. An unknown label anywhere comes before an I that
+    continues nothing of its type. A null label is unknown. Equal indexes are ordered by label."""
+    bad = with_issue(labelled(tokens.select(*_ORDER, "token_index", "label"), labels)).where("issue IS NOT NULL")
     first = F.min_by(F.struct("token_index", "label", "issue"), F.struct((F.col("issue") != "unknown_label").alias("a"), "token_index", "label"))
     return bad.groupBy(*_ORDER).agg(first.alias("f")).select(*_ORDER, "f.*")
 
@@ -50,11 +55,10 @@ def sequence_issues(tokens: DataFrame, labels: DataFrame) -> DataFrame:
 def spans(tokens: DataFrame, labels: DataFrame, valid_only: bool = True) -> DataFrame:
     """``document_id, page_index, entity_type, raw_value, first_token, last_token``: B starts a span, I extends it, O ends it; texts are joined by one space.
     Pages with sequence issues give no spans unless ``valid_only`` is false; then an I without a start belongs to none and unknown labels end spans.
-    Gaps and islands in one window and one aggregation on the same key."""
+    Windows and the aggregation share one shuffle by page; nothing is scanned twice."""
+    known = labelled(tokens.select(*_ORDER, "token_index", "text", "label"), labels)
     if valid_only:
-        bad = sequence_issues(tokens, labels).select(*_ORDER)
-        tokens = tokens.join(bad, [tokens[c].eqNullSafe(bad[c]) for c in _ORDER], "left_anti")
-    known = _labelled(tokens.select(*_ORDER, "token_index", "text", "label"), labels)
+        known = with_issue(known).withColumn("bad", F.max("issue").over(Window.partitionBy(*_ORDER))).where("bad IS NULL")
     w = Window.partitionBy(*_ORDER).orderBy("token_index", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = known.withColumn("span", F.sum(F.when(F.col("prefix") == "I", 0).otherwise(1)).over(w))
     islands = opened.where("prefix IN ('B', 'I')").groupBy(*_ORDER, "span").agg(

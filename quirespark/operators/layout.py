@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions.geometry import grid_box, valid_box
 from quirespark.functions.text import is_blank
-from quirespark.operators.bio import sequence_issues
+from quirespark.operators.bio import labelled, with_issue
 from quirespark.operators.tokens import gaps
+from quirespark.session import maybe_broadcast
 
 # Fixed values of the layout dataset: length, grid, ignored label, box of special tokens.
 MAX_LENGTH, SCALE, IGNORE = 512, 1000, -100
@@ -17,21 +18,25 @@ MAX_LENGTH, SCALE, IGNORE = 512, 1000, -100
 def annotation_issues(tokens: DataFrame, labels: DataFrame) -> DataFrame:
     """``document_id, page_index, token_index, code`` of token rows that break the annotation contract: ``non_contiguous_token_index,
     blank_token_text, invalid_bounding_box, box_outside_page, invalid_bio_sequence, non_contiguous_page_index``. A token with a bad box still takes part in
-    its page's sequence. A page or document issue has the first token or none."""
+    its page's sequence. A page's sequence issue is that of its first bad label. Tokens take one shuffle by page."""
+    page = Window.partitionBy("document_id", "page_index")
+    known = with_issue(labelled(tokens, labels)).withColumn("expected", F.row_number().over(page.orderBy("token_index")) - 1)
+    rank = F.when(F.col("issue").isNotNull(), F.struct((F.col("issue") != "unknown_label").alias("a"), "token_index", "label"))
+    known = known.withColumn("rank", rank).withColumn("first", F.min("rank").over(page))
     box = F.col("bounding_box")
     ok = valid_box(box)
     codes = F.array(
+        F.when(F.col("token_index") != F.col("expected"), "non_contiguous_token_index"),
         F.when(F.col("text").isNull() | is_blank(F.col("text")), "blank_token_text"),
         F.when(~ok, "invalid_bounding_box"),
         F.when(ok & ((box["x_max"] > F.col("image_width")) | (box["y_max"] > F.col("image_height"))), "box_outside_page"),
+        F.when(F.col("rank").isNotNull() & F.col("rank").eqNullSafe(F.col("first")), "invalid_bio_sequence"),
     )
-    per_token = tokens.select("document_id", "page_index", "token_index", F.explode(F.array_compact(codes)).alias("code"))
-    indexes = gaps(tokens).select("document_id", "page_index", "token_index", F.lit("non_contiguous_token_index").alias("code"))
-    sequences = sequence_issues(tokens, labels).select("document_id", "page_index", "token_index", F.lit("invalid_bio_sequence").alias("code"))
+    found = known.select("document_id", "page_index", "token_index", F.explode(F.array_compact(codes)).alias("code"))
     none = F.lit(None).cast("int")
     pages = tokens.select("document_id", F.col("page_index").alias("token_index")).distinct().withColumn("page_index", F.lit(0))
     page_gaps = gaps(pages).select("document_id", F.col("token_index").alias("page_index"), none.alias("token_index"), F.lit("non_contiguous_page_index").alias("code"))
-    return per_token.unionByName(indexes).unionByName(sequences).unionByName(page_gaps)
+    return found.unionByName(page_gaps)
 
 
 def grid_boxes(tokens: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -78,7 +83,7 @@ def page_features(tokens: DataFrame, labels: DataFrame, max_length: int = MAX_LE
     g = grid_box(F.col("bounding_box"), F.col("image_width"), F.col("image_height"), scale)
     inside = labels.select(F.col("name").alias("label"), F.col("id").alias("label_id"), F.when(F.col("prefix") == "B", F.concat(F.lit("I-"), "entity_type")).otherwise(F.col("name")).alias("inner"))
     known = inside.join(labels.select(F.col("name").alias("inner"), F.col("id").alias("inside_id")), "inner").select("label", "label_id", "inside_id")
-    rows = tokens.join(F.broadcast(known.limit(100_000)), "label", "left").select("document_id", "page_index", F.struct("token_index", "text", g.alias("box"), "label_id", "inside_id").alias("t"))
+    rows = tokens.join(maybe_broadcast(known), "label", "left").select("document_id", "page_index", F.struct("token_index", "text", g.alias("box"), "label_id", "inside_id").alias("t"))
     pages = rows.groupBy("document_id", "page_index").agg(F.sort_array(F.collect_list("t")).alias("t"), F.count_if(F.col("t.box").isNull() | F.col("t.label_id").isNull() | F.col("t.inside_id").isNull()).alias("bad")).where("bad = 0")
     whole = pages.withColumn("ids", fixed_width_word_ids(F.col("t.text"), width))
     cut = whole.withColumn("truncated", F.size("ids") > max_length).withColumn("ids", F.when(F.col("truncated"), F.concat(F.slice("ids", 1, max_length - 1), F.array(F.lit(None).cast("int")))).otherwise(F.col("ids")))

@@ -64,7 +64,9 @@ def classified(spark, d):
 
 
 def tokens(spark, d):
-    return view(spark, d, TOKENS, "annotation_token")
+    """The token table without rows sent again; partitioned by page, so operators by page need no further shuffle."""
+    rows = table(spark, d, "annotation_token").select("document_id", "page_index", "token_index", "text", "bounding_box", "label", "image_width", "image_height")
+    return rows.repartition("document_id", "page_index").dropDuplicates(["document_id", "page_index", "token_index"])
 
 
 def detection(spark, d):
@@ -82,9 +84,10 @@ def calibration(spark, d):
 def spans_of(sides: DataFrame) -> DataFrame:
     """Both sides of an entity evaluation: reconstructed spans, and the same with errors by modulo."""
     f = F.col("first_token")
-    base = sides.select(F.col("document_id").alias("sample_id"), F.array(F.substring_index("document_id", "-", 1)).alias("cohorts"), "page_index", "entity_type", "raw_value", "first_token", "last_token")
-    wrong = base.where(f % 7 != 0).select("sample_id", "cohorts", "page_index", F.when(f % 7 == 2, "SELLER_NAME").otherwise(F.col("entity_type")).alias("entity_type"), F.when(f % 5 == 0, F.concat("raw_value", F.lit("x"))).otherwise(F.col("raw_value")).alias("raw_value"), "first_token", (F.col("last_token") + F.when(f % 7 == 1, 1).otherwise(0)).alias("last_token"))
-    return base.withColumn("side", F.lit("reference")).unionByName(wrong.withColumn("side", F.lit("predicted")))
+    one = lambda kind, value, last, side: F.struct(kind.alias("entity_type"), value.alias("raw_value"), F.col("page_index"), f.alias("first_token"), last.alias("last_token"), F.lit(side).alias("side"))
+    wrong = one(F.when(f % 7 == 2, "SELLER_NAME").otherwise(F.col("entity_type")), F.when(f % 5 == 0, F.concat("raw_value", F.lit("x"))).otherwise(F.col("raw_value")), F.col("last_token") + F.when(f % 7 == 1, 1).otherwise(0), "predicted")
+    both = F.array_compact(F.array(one(F.col("entity_type"), F.col("raw_value"), F.col("last_token"), "reference"), F.when(f % 7 != 0, wrong)))
+    return sides.select(F.col("document_id").alias("sample_id"), F.array(F.substring_index("document_id", "-", 1)).alias("cohorts"), F.explode(both).alias("s")).select("sample_id", "cohorts", "s.*")
 
 
 def artifact_tables(spark, d):
