@@ -34,7 +34,7 @@ def casefold(text: Column) -> Column:
     table = fold_table()
     pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in table) + "]"
     full = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(_map(), c), c)), "")
-    return F.when(low.rlike(pattern), full).otherwise(low)
+    return F.when(~low.rlike(r"[^\x00-\x7F]"), low).when(low.rlike(pattern), full).otherwise(low)
 
 
 @cache

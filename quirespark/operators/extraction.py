@@ -62,33 +62,35 @@ def _python_spans(rules: tuple[Rule, ...]):
     return spans
 
 
-def spans(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def spans(pages: DataFrame, rules: tuple[Rule, ...] = RULES, with_text: bool = False) -> DataFrame:
     """``document_id, page_index, rule, match, start, value``: every match of every rule on page rows ``document_id, page_index, text``.
 
     Rules whose value ends the pattern run inside the JVM: the value is wrapped in two private-use characters and the text split
-    at them. Other rules, and texts that hold those characters themselves, are searched by Python over Arrow."""
+    at them. Other rules, and texts that hold those characters themselves, are searched by Python over Arrow. ``with_text`` keeps the page's text
+    beside each match, so that later steps need no join."""
     native = [(k, t) for k, r in enumerate(rules) if (t := r.tail())]
     marked = F.col("text").rlike(f"[{OPEN}{CLOSE}]")
 
-    def found(k: int, pattern: str):
-        parts = F.split(F.regexp_replace(F.col("text"), pattern, f"${{pre}}{OPEN}${{value}}{CLOSE}"), f"[{OPEN}{CLOSE}]")
-        one = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(parts) / 2) - 1).cast("int")), lambda n: F.struct(
-            F.lit(k).alias("rule"), n.alias("match"), F.aggregate(F.slice(parts, 1, 2 * n + 1), F.lit(0), lambda a, p: a + F.length(p)).alias("start"), F.get(parts, 2 * n + 1).alias("value")))
-        return F.filter(one, lambda s: s["value"].isNotNull())
+    def parts(pattern: str):
+        return F.split(F.regexp_replace(F.col("text"), pattern, f"${{pre}}{OPEN}${{value}}{CLOSE}"), f"[{OPEN}{CLOSE}]")
 
+    page = ["document_id", "page_index", *(["text"] if with_text else [])]
     keep = pages.select("document_id", "page_index", "text").where("text IS NOT NULL")
     out = None
     if native:
-        plain = keep.where(~marked)
-        out = plain.select("document_id", "page_index", F.explode(F.concat(*[found(k, t) for k, t in native])).alias("s"))
+        # each explode keeps the searched parts from being computed again
+        split = keep.where(~marked).select(*page, F.posexplode(F.array(*[parts(t) for _, t in native])).alias("i", "p")).where(F.size("p") > 1)
+        each = split.select(*page, F.get(F.array(*[F.lit(k) for k, _ in native]), F.col("i")).alias("rule"), "p", F.explode(F.sequence(F.lit(0), (F.size("p") / 2).cast("int") - 1)).alias("match"))
+        start = F.aggregate(F.slice("p", 1, 2 * F.col("match") + 1), F.lit(0), lambda a, x: a + F.length(x))
+        out = each.select(*page, "rule", "match", start.alias("start"), F.get("p", 2 * F.col("match") + 1).alias("value"))
     others = tuple(r for r in rules if not r.tail())
     scans = [(keep.where(marked), rules)] + ([(keep.where(~marked), others)] if others else [])
     for rows, own in scans:
         place = F.array(*[F.lit(rules.index(r)) for r in own])
-        got = rows.select("document_id", "page_index", F.explode(_python_spans(own)(F.col("text"))).alias("s"))
-        got = got.select("document_id", "page_index", F.struct(F.get(place, F.col("s.rule")).alias("rule"), F.col("s.match"), F.col("s.start"), F.col("s.value")).alias("s"))
+        got = rows.select(*page, F.explode(_python_spans(own)(F.col("text"))).alias("s"))
+        got = got.select(*page, F.get(place, F.col("s.rule")).alias("rule"), "s.match", "s.start", "s.value")
         out = got if out is None else out.unionByName(got)
-    return out.select("document_id", "page_index", "s.*")
+    return out
 
 
 def entities(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -99,14 +101,13 @@ def entities(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     tokens count once, for the first rule. Tokens are counted as the spaces before the extent, so no join with a token table is needed."""
     ids = F.array(*[F.lit(r.rule_id) for r in rules])
     types = F.array(*[F.lit(r.entity_type) for r in rules])
-    named = spans(pages, rules).withColumn("raw_value", strip(F.col("value"))).where("raw_value != ''")
-    joined = named.join(pages.select("document_id", "page_index", "text"), ["document_id", "page_index"])
+    named = spans(pages, rules, with_text=True).withColumn("raw_value", strip(F.col("value"))).where("raw_value != ''")
     before = lambda n: F.length(F.regexp_replace(F.substring(F.col("text"), 1, n), "[^ ]", ""))
     end = F.col("start") + F.length("value")
     # blanks at either end of the extent touch no further token
     lead = F.length("value") - F.length(F.regexp_replace("value", "^ +", ""))
     trail = F.length("value") - F.length(F.regexp_replace("value", " +$", ""))
-    placed = joined.select("document_id", "page_index", F.get(types, F.col("rule")).alias("entity_type"), "raw_value", "rule", "match", before(F.col("start") + lead).alias("first_token"), before(end - trail).alias("last_token"))
+    placed = named.select("document_id", "page_index", F.get(types, F.col("rule")).alias("entity_type"), "raw_value", "rule", "match", before(F.col("start") + lead).alias("first_token"), before(end - trail).alias("last_token"))
     first = Window.partitionBy("document_id", "page_index", "entity_type", "raw_value", "first_token", "last_token").orderBy("rule", "match")
     once = placed.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return once.select("document_id", "page_index", "entity_type", "raw_value", F.get(ids, F.col("rule")).alias("rule_id"), "first_token", "last_token", (F.col("last_token") - F.col("first_token") + 1).alias("n_tokens"))
