@@ -105,9 +105,12 @@ def visible_form(text: str | None) -> str | None:
 
 
 def match_key(text: str | None) -> str | None:
-    """``visible_form`` under full case folding, composed again."""
-    seen = visible_form(text)
-    return seen if seen is None else unicodedata.normalize("NFC", seen.casefold())
+    """``visible_form`` under full case folding, brought into its one form again (folding can split characters)."""
+    return None if text is None else _folded(visible_form(text))
+
+
+def _folded(seen: str) -> str:
+    return seen.lower() if seen.isascii() else visible_form(seen.casefold())
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +118,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = [visible_form(t) for t in batch["raw_text"]]
         yield pd.DataFrame({
             "raw_text": batch["raw_text"], "text_norm": seen,
-            "match_key": [unicodedata.normalize("NFC", s.casefold()) for s in seen],
+            "match_key": [_folded(s) for s in seen],
             "plain": [not not_plain(t) for t in batch["raw_text"]],
         })
 

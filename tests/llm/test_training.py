@@ -323,7 +323,7 @@ def test_leaks_in_tables(spark):
     items = spark.createDataFrame([(1, passage), (2, "short"), (3, None), (None, passage)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"before. {passage.upper().replace('Ö', 'o')}, after"), (1, passage), (2, " ".join(passage.split()[:15])), (3, None), (4, ""), (5, "x " * 50_000 + passage)], "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     assert sorted(tuple(r) for r in leakage.found(docs, items).collect()) == [(1, 1), (5, 1)]
-    got = [r for r in leakage.cleaned(docs, items).collect()]
+    got = [r for r in leakage.cleaned(docs, items, 0.95).collect()]
     assert len(got) == 6 and [r["text"] for r in got if r["doc_id"] == 1 and not r["dropped"]] == ["before. , after"] and sum(r["dropped"] for r in got) == 1
     assert leakage.found(docs, items.limit(0)).count() == 0 and leakage.found(docs.limit(0), items).count() == 0
 
