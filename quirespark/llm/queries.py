@@ -51,7 +51,7 @@ def _p5_found(spark, d):
 
 
 def _p6_found(spark, d):
-    return chunking.long_pages(table(spark, d, "annotation_token")).select("document_id", "page_index")
+    return _p6_pieces(spark, d).select("document_id", "page_index").distinct()
 
 
 def _p6_pieces(spark, d):

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, splits, subjects
+from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, queries, splits, subjects
 
 TOKEN = "document_id string, page_index int, token_index int, text string, label string"
 
@@ -266,6 +266,15 @@ def test_pages_and_pieces(spark):
     assert chunking.chunked_pages(df.limit(0)).count() == 0
 
 
+def test_found_pages_are_those_of_the_pieces(spark, tmp_path):
+    rows = [("d", 0, k, f"w{k}.", "O") for k in range(600)] + [("d", 1, k, "w", "O") for k in range(512)] + [("e", None, k, "a b", "O") for k in range(300)]
+    df = spark.createDataFrame(rows, TOKEN).withColumn("bounding_box", F.struct(F.lit(1.0).alias("y_min")))
+    df.union(df.limit(100)).write.parquet(f"{tmp_path}/annotation_token.parquet")
+    found = queries.queries()["p6_found"](spark, str(tmp_path))
+    assert "MapInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("d", 0), ("e", None)]
+
+
 # ---- p7
 
 
