@@ -22,19 +22,21 @@ def word_edits(reference: Column, prediction: Column) -> Column:
     """Levenshtein distance in blank-separated words.
 
     Each distinct word of a pair becomes one code point of the CJK block and up, so the built-in distance does the
-    work. Up to 20,000 distinct words a pair; more give null (see :func:`word_edits_long`)."""
+    work. Pairs of more than 20,000 distinct words go to :func:`word_edits_long`."""
     a, b = words(reference), words(prediction)
     known = F.array_distinct(F.concat(a, b))
 
     def coded(side: Column) -> Column:
         return F.array_join(F.transform(side, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4DFF), 4, "0")), "UTF-16BE")), "")
 
-    return F.when(F.size(known) <= 20_000, F.levenshtein(coded(a), coded(b)))
+    short = F.size(known) <= 20_000
+    long = word_edits_long(F.when(~short, reference), F.when(~short, prediction))  # Spark calls it for every row; a null costs little
+    return F.when(short, F.levenshtein(coded(a), coded(b))).otherwise(long)
 
 
 @F.pandas_udf(T.IntegerType())
 def word_edits_long(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    """The same for any number of words, row by row in linear memory."""
+    """The same for any number of words, row by row in linear memory; null for a null text."""
     out = []
     for a, b in zip(reference, prediction):
         if a is None or b is None:

@@ -62,6 +62,12 @@ def test_word_edits(spark):
         assert all(r["got"] == r["want"] for r in df.select("want", f(F.col("a"), F.col("b")).alias("got")).collect())
 
 
+def test_word_edits_of_many_distinct_words(spark):
+    long = " ".join(f"w{k}" for k in range(20_001))
+    df = spark.createDataFrame([(long, "w0 x w2", 19_999), ("w0 x w2", long, 19_999), ("a b", "a", 1), (None, "a", None)], "a string, b string, want int")
+    assert all(r["got"] == r["want"] for r in df.select("want", distance.word_edits(F.col("a"), F.col("b")).alias("got")).collect())
+
+
 def test_normalised_text_folds_and_keeps_words(spark):
     cases = {"Invoice No.: 12/3": "invoice no 12 3", "STRASSE Straße": "strasse strasse", "  a_b--c ": "a_b c", "Σίσυφος": "σίσυφοσ", "": "", "²x": "²x"}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
