@@ -167,9 +167,48 @@ def _near(item: np.ndarray, text: np.ndarray, d: int, e: int, least: int, per: i
     return len(part) >= least and int((sums[least:] - sums[:-least]).max()) >= least - -(-least * slack // reach) - 1
 
 
+def _arm(item: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """Rows ``(item words, edits, text words)`` of the ways on from a piece, with at most ``most`` edits, that end in an
+    unchanged word: for each such item word the cheapest, in order; the first is to stay."""
+    out = [(0, 0, 0)]
+    steps = np.arange(len(text) + 1)
+    row = steps
+    for i, w in enumerate(item.tolist(), 1):
+        same = text == w
+        hits = np.flatnonzero(same)
+        if len(hits) and row[t := hits[row[hits].argmin()]] <= most:
+            out.append((i, int(row[t]), int(t) + 1))
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + ~same)
+        row = np.minimum.accumulate(new - steps) + steps
+        if row.min() > most:
+            break
+    return np.array(out, np.int64)
+
+
+def passage(item: np.ndarray, text: np.ndarray, piece: tuple[int, int, int], least: int = LEAST, per: int = PER) -> tuple[int, int, int, int] | None:
+    """The longest passage that counts and holds the ``piece`` (see :meth:`Automaton.seeds`): its first and last unchanged
+    word in the text, then in the item; None if there is none. Changed words at its ends only count towards ``least``."""
+    d, e, n = piece
+    most = len(item) // per
+    head, start = e - n + 1, d - n + 1
+    left = _arm(item[:head][::-1], text[max(0, start - head - most) : start][::-1], most)
+    right = _arm(item[e + 1 :], text[d + 1 : d + len(item) - e + most], most)
+    best = None
+    for words, edits, taken in left.tolist():
+        size = n + words + right[:, 0]
+        lack = np.maximum(0, least - size)
+        fits = np.flatnonzero(per * (edits + right[:, 1] + lack) <= size + lack)
+        if len(fits):
+            r = right[fits[-1]].tolist()
+            found = (n + words + r[0], -edits - r[1]), (start - taken, d + r[2], head - words, e + r[0])
+            best = found if best is None or found[0] > best[0] else best
+    return best and best[1]
+
+
 def leaks_of(automaton: Automaton, words: list[str], least: int = LEAST, per: int = PER) -> list[tuple[int, int, int]]:
-    """``(item, first word, last word)`` of every item the words hold a passage of; the words are
-    the extent of the pieces that are found unchanged in and around it."""
+    """``(item, first word, last word)`` of every passage of an item in the words, from its first to its last
+    unchanged word; passages of one item that overlap are one."""
     code = automaton.code
     codes = [code.get(w, -1) for w in words]
     text = np.array(codes, np.int64)
@@ -179,17 +218,21 @@ def leaks_of(automaton: Automaton, words: list[str], least: int = LEAST, per: in
         item = automaton.items[k]
         if len(item) < least:
             continue
-        covered: list[tuple[int, int]] = []
-        for d, e, _ in sorted(seeds, key=lambda s: -s[2]):
-            if any(a <= d < b for a, b in covered) or not _near(item, text, d, e, least, per):
+        spans: list[tuple[int, int, int, int]] = []
+        for d, e, n in sorted(seeds, key=lambda s: -s[2]):
+            if any(a <= d - n + 1 and d <= b and x <= e - n + 1 and e <= y for a, b, x, y in spans) or not _near(item, text, d, e, least, per):
                 continue
             low, high = max(0, e - reach), min(len(item), e + reach + 1)
             slack = reach // per + 1
-            if holds(item[low:high], text[max(0, d - e + low - slack) : max(0, d - e + high + slack)], least, per):
-                a, b = max(0, d - e - len(item) // per), d + len(item) - e + len(item) // per
-                covered.append((a, b))
-                own = [(x - n + 1, x) for x, _, n in seeds if a <= x < b]
-                out.append((k, min(x for x, _ in own), max(y for _, y in own)))
+            if holds(item[low:high], text[max(0, d - e + low - slack) : max(0, d - e + high + slack)], least, per) and (span := passage(item, text, (d, e, n), least, per)):
+                spans.append(span)
+        merged: list[list[int]] = []
+        for a, b, *_ in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        out += [(k, a, b) for a, b in merged]
     return out
 
 
@@ -202,8 +245,8 @@ def _automaton(items: DataFrame, least: int, per: int) -> tuple[list[int], Autom
 
 
 def leak_spans(documents: DataFrame, items: DataFrame, least: int = LEAST, per: int = PER) -> DataFrame:
-    """``doc_id, item_id, first_char, last_char, n_words, coverage``: one row per passage; coverage is
-    the share of the document's words. Null, empty and short texts hold nothing; a document or item that
+    """``doc_id, item_id, first_char, last_char, n_words, coverage``: one row per passage, from its first to its last
+    unchanged word; coverage is the share of the document's words. Null, empty and short texts hold nothing; a document or item that
     comes twice is reported as often. Texts of any length are streamed whole."""
     ids, automaton = _automaton(items, least, per)
     shared = documents.sparkSession.sparkContext.broadcast((ids, automaton))

@@ -312,6 +312,18 @@ def test_leaks_equal_brute_force():
     assert hits > 30
 
 
+def test_spans_are_whole_passages():
+    item = [f"w{k}" for k in range(60)]
+    automaton = leakage.Automaton([item], leakage.shortest_run())
+    for low, high, changed in ((0, 18, (4, 13)), (10, 28, (14, 23)), (0, 60, (2, 20, 21, 22, 57))):  # ends shorter than a seed
+        text = ["x", "y"] + ["z" if k in changed else item[k] for k in range(low, high)] + ["x"] * 3
+        assert leakage.leaks_of(automaton, text) == [(0, 2, 1 + high - low)]
+    text = item[:20] + ["own"] * 15 + item[35:40] + ["x"]  # a short piece of the same item is no part of the passage
+    assert leakage.leaks_of(automaton, text) == [(0, 0, 19)]
+    text = item[:20] + ["own"] * 15 + item[35:60]
+    assert leakage.leaks_of(automaton, text) == [(0, 0, 19), (0, 35, 59)]
+
+
 def test_automaton_finds_every_longest_piece():
     rng = random.Random(5)
     items = [[rng.choice("abc") for _ in range(20)] for _ in range(4)]
