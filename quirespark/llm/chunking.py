@@ -88,20 +88,22 @@ def word_count(text):
 
 def long_pages(tokens: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``document_id, page_index, n_words`` of the pages of more than ``limit`` words. Repeated rows
-    count once; rows without a document are left out, a missing page index is a page of its own."""
+    count once, a token sent with different texts with its most words; rows without a document are left out, a missing
+    page index is a page of its own. Tokens without an index are told apart by their text."""
     rows = tokens.where(F.col("document_id").isNotNull()).select("document_id", "page_index", "token_index", "text")
     # with its repeated rows no page has fewer words, so only few pages need their rows told apart
     sums = rows.groupBy("document_id", "page_index").agg(F.sum(word_count(F.col("text"))).alias("n")).where(F.col("n") > limit).drop("n")
     likely = maybe_broadcast(written(sums.withColumnsRenamed({"document_id": "d", "page_index": "p"}), "long-pages"))
     of_them = rows.join(likely, rows["document_id"].eqNullSafe(F.col("d")) & rows["page_index"].eqNullSafe(F.col("p")), "left_semi")
-    once = of_them.groupBy("document_id", "page_index", "token_index").agg(F.max(word_count(F.col("text"))).alias("n"))
+    once = of_them.groupBy("document_id", "page_index", "token_index", F.when(F.col("token_index").isNull(), F.col("text"))).agg(F.max(word_count(F.col("text"))).alias("n"))
     return once.groupBy("document_id", "page_index").agg(F.sum("n").alias("n_words")).where(F.col("n_words") > limit)
 
 
 def chunked_pages(tokens: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """One row per piece of every page of more than ``limit`` words: ``document_id, page_index`` and
     the fields of ``PIECE``. Shorter pages have no row. Null and blank texts add no words; a word
-    longer than anything is still one word. Rows sent again are taken once."""
+    longer than anything is still one word. Rows sent again are taken once, as in :func:`long_pages`. Tokens
+    without an index come first, in order of their texts."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
     pages = maybe_broadcast(written(long_pages(tokens, limit).select(F.col("document_id").alias("d"), F.col("page_index").alias("p")), "pages"))
@@ -113,7 +115,11 @@ def chunked_pages(tokens: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
         names = ["document_id", "page_index", *[f.split()[0] for f in PIECE.split(", ")]]
         for batch in batches:
             for document, page, t in zip(batch["document_id"], batch["page_index"], batch["t"]):
-                seen: dict = {x["token_index"]: (x["token_index"], x["text"], x["y"]) for x in t}
+                seen: dict = {}
+                for x in t:
+                    key = (x["token_index"], x["text"] if x["token_index"] is None else None)
+                    if key not in seen or len((x["text"] or "").split()) >= len((seen[key][1] or "").split()):
+                        seen[key] = (x["token_index"], x["text"], x["y"])
                 yield pd.DataFrame([(document, page, *p) for p in pieces_of(list(seen.values()), limit, overlap)], columns=names).astype({"page_index": "Int32", "first_token": "Int32", "last_token": "Int32"})
 
     return one.mapInPandas(cut, f"document_id string, page_index int, {PIECE}")

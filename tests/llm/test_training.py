@@ -275,6 +275,17 @@ def test_found_pages_are_those_of_the_pieces(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [("d", 0), ("e", None)]
 
 
+def test_tokens_without_an_index_all_count(spark):
+    rows = [("d", 0, None, f"w{k}", "O") for k in range(300)] + [("d", 0, k, f"v{k}", "O") for k in range(300)] + [("e", 0, None, f"w{k}", "O") for k in range(513)] + [("f", 0, 0, "x " * 513, "O"), ("f", 0, 0, "\u3000", "O")]
+    df = spark.createDataFrame(rows, TOKEN).withColumn("bounding_box", F.struct(F.lit(1.0).alias("y_min")))
+    df = df.union(df)
+    assert sorted(map(tuple, chunking.long_pages(df).collect())) == [("d", 0, 600), ("e", 0, 513), ("f", 0, 513)]
+    pieces = chunking.chunked_pages(df).orderBy("document_id", "piece_index").collect()
+    for d in "def":
+        got = [w for r in pieces if r["document_id"] == d for w in r["text"].split()[r["repeated"] :]]
+        assert sorted(got) == sorted(w for r in rows if r[0] == d for w in r[3].split())
+
+
 # ---- p7
 
 
