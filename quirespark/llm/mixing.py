@@ -156,7 +156,9 @@ def temperature_report(documents: DataFrame, targets: DataFrame, ranks: str = RA
     """``source, tokens, natural_share, exponent, weight`` of the listed sources that occur: natural token
     shares raised to the exponent at which their entropy is that of the target shares."""
     spark = documents.sparkSession
-    shares = {r["source"]: r["s"] for r in targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("s")).limit(MOST_SOURCES).collect()}
+    shares = {r["source"]: r["s"] for r in targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("s")).limit(MOST_SOURCES + 1).collect()}
+    if len(shares) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     rows = token_counts(documents.where(F.col("source").isin(list(shares))).select("source", "text"), ranks).groupBy("source").agg(F.sum("n_tokens").alias("t")).where("t > 0").orderBy("source").collect()
     schema = "source string, tokens long, natural_share double, exponent double, weight double"
     if not rows:

@@ -390,6 +390,16 @@ def test_mixture_reaches_its_shares(spark):
     assert mixing.Mixture(docs.limit(0), targets).rows.count() == 0 and mixing.Mixture(docs, targets.limit(0)).report().count() == 0
 
 
+def test_temperature_report_refuses_too_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, s, "a b c") for k, s in enumerate("abc")], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([(s, 1 / 3, 1) for s in "abc"], "source string, target_share double, max_repeat int")
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    assert mixing.temperature_report(docs, targets).count() == 3
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.temperature_report(docs, targets)
+
+
 def test_parts_of_long_texts_lose_nothing():
     text = "".join(random.Random(1).choice(["word ", "  ", "x", "\n", "9 "]) for _ in range(5000))
     assert "".join(mixing._parts(text, 100)) == text and "".join(mixing._parts("a" * 1000, 100)) == "a" * 1000
