@@ -131,6 +131,11 @@ def _telemetry(spark, d):
     return t.groupBy("stage", "status").agg(F.count("*").alias("records"), F.sum("output_count").alias("outputs"), F.count_if(F.col("document_id").isNotNull()).alias("with_ids"))
 
 
+def _windows_p95(spark, d):
+    w = monitoring.windowed(fx.monitoring(spark, d), "1 day")
+    return _rounded(w.withColumn("window_start", writers.iso_utc(F.col("window_start"))), "mean_duration", "p95_duration", digits=6)
+
+
 def _windows(spark, d):
     w = monitoring.windowed(fx.monitoring(spark, d), "1 day").drop("p95_duration")
     return _rounded(w.withColumn("window_start", writers.iso_utc(F.col("window_start"))), "mean_duration", digits=6)
@@ -196,6 +201,7 @@ def queries() -> dict:
         "monitoring_categories": lambda s, d: monitoring.categories(fx.monitoring(s, d)),
         "monitoring_issues": lambda s, d: monitoring.record_issues(fx.monitoring(s, d)).groupBy("issue").agg(F.count("*").alias("records")),
         "monitoring_window": _windows,
+        "monitoring_window_p95": _windows_p95,
         "pipeline_inference": _inference,
         "pipeline_records": _telemetry,
         "bundle_manifest": lambda s, d: writers.bundle_digest(table(s, d, "documents").select(F.lit("text").alias("role"), F.col("doc_id").cast("string").alias("filename"), F.col("text").cast("binary").alias("content"))),

@@ -221,3 +221,11 @@ def test_monitoring_contract(spark):
     bad = [(1, *ok), (2, *ok[:2], -1.0, *ok[3:]), (3, *ok[:3], None, *ok[4:]), (4, *ok[:6], 1, ["a", "a"], 2.0, "E"), (5, "ocr", "ERROR", 1.0, None, None, None, 1, [], None, None)]
     got = rows(monitoring.record_issues(spark.createDataFrame(bad, schema)), "record_id", "issue")
     assert got == [(2, "invalid_duration"), (3, "partial_model_identity"), (4, "duplicate_categories"), (4, "invalid_confidence"), (4, "success_with_error_type"), (5, "error_with_outputs"), (5, "missing_error_type")]
+
+
+def test_monitoring_window_p95(spark, monkeypatch):
+    from quirespark.plans import catalogue
+
+    df = spark.createDataFrame([(k / 100, "OCR", "SUCCESS") for k in range(1, 101)], "duration_seconds double, stage string, status string").withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    monkeypatch.setattr(catalogue.fx, "monitoring", lambda s, d: df)
+    assert [(r["records"], r["errors"], r["p95_duration"]) for r in catalogue.queries()["monitoring_window_p95"](spark, "").collect()] == [(100, 0, 0.95)]
