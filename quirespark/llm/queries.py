@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, splits, subjects
 from quirespark.session import table
 
+#: Setting that names the rank file of the tokenizer, and its default.
+RANKS = "spark.quirespark.ranks", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -70,16 +72,20 @@ def _p7_cleaned(spark, d):
     return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def _mixture(spark, d):
+    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), spark.conf.get(*RANKS))
+
+
 def _p8_mixture(spark, d):
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).rows
+    return _mixture(spark, d).rows
 
 
 def _p8_shares(spark, d):
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).report()
+    return _mixture(spark, d).report()
 
 
 def _p8_temperature(spark, d):
-    return mixing.temperature_report(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    return mixing.temperature_report(table(spark, d, "documents"), table(spark, d, "mix_target"), spark.conf.get(*RANKS))
 
 
 def _scored(spark, d):
