@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.normalise import match_key
+from quirespark.llm.normalise import forms_of, keys_of, look_alikes
 from quirespark.session import maybe_broadcast, written
 
 #: Buckets of the weight table: 8 bytes each on the driver and in each Python worker.
@@ -56,24 +56,32 @@ def record_texts(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.sort_array(F.collect_set(one)).alias("t")).select("document_id", F.array_join(F.col("t.text"), "\n").alias("text"))
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes: dict[str, int] = {}
-    for batch in batches:
-        keys, rows = [], []
-        for text in batch["text"]:
-            if text.isascii():
-                words = text.lower().split()
-            else:
-                words = " ".join(t.lower() if t.isascii() else match_key(t) for t in text.split("\n")).split()
-            if len(hashes) > 2_000_000:
-                hashes.clear()
-            for w in words:
-                if w not in hashes:
-                    hashes[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
-            row = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
-            rows.append(row)
-            keys.append(xxhash.xxh3_128_digest(row.tobytes()))
-        yield batch.drop(columns="text").assign(key=keys, words=rows)
+def _words(look: dict[str, str]):
+    """Hashes of the words of each record's text in its one form, and a key of the whole list. The distinct lines that aren't
+    ASCII are normalised together."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes: dict[str, int] = {}
+        for batch in batches:
+            lines = list({t for text in batch["text"] if not text.isascii() for t in text.split("\n") if not t.isascii()})
+            key = dict(zip(lines, keys_of(forms_of(lines, look)[0], look)))
+            keys, rows = [], []
+            for text in batch["text"]:
+                if text.isascii():
+                    words = text.lower().split()
+                else:
+                    words = " ".join(key[t] if t in key else t.lower() for t in text.split("\n")).split()
+                if len(hashes) > 2_000_000:
+                    hashes.clear()
+                for w in words:
+                    if w not in hashes:
+                        hashes[w] = xxhash.xxh64_intdigest(w) - (1 << 63)
+                row = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+                rows.append(row)
+                keys.append(xxhash.xxh3_128_digest(row.tobytes()))
+            yield batch.drop(columns="text").assign(key=keys, words=rows)
+
+    return run
 
 
 def _mix(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
@@ -235,7 +243,7 @@ class Overlap:
         )
         # the sides join where the texts lie already, so texts and words are shuffled once only
         texts = record_texts(tokens).join(sides, "document_id").select("document_id", "in_train", "in_held", "text")
-        words = texts.mapInPandas(_words, "document_id string, in_train boolean, in_held boolean, key binary, words array<long>")
+        words = texts.mapInPandas(_words(look_alikes(spark)), "document_id string, in_train boolean, in_held boolean, key binary, words array<long>")
         words = written(words.where(F.size("words") > 0), "overlap-words")
         classes = words.groupBy("key").agg(F.min("document_id").alias("rep"), F.bool_or("in_train").alias("class_train"), F.bool_or("in_held").alias("class_held"))
         self.members = written(words.drop("words").join(classes.select("key", "rep", "class_train", "class_held"), "key"), "overlap-members")
