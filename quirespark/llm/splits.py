@@ -2,8 +2,9 @@
 
 Records of a manifest that share a value of one of its grouping keys, directly or through other
 records, form a set (connected component). Sets are found by alternating large-star and
-small-star contraction on (record, smallest record) edges; no set, hub or edge list is ever
-gathered in one task. New splits come from largest differencing: in blocks of a bounded number of
+small-star contraction on (record, smallest record) edges. A node, or a group value, with very many
+edges (a hub) is joined with its smallest neighbour by broadcast, so its edges stay where they lie; no
+set, hub or edge list is ever gathered in one task. New splits come from largest differencing: in blocks of a bounded number of
 sets, the two partial solutions of the largest spread are combined again and again, heavy bins
 onto light ones, until a block is ``BINS`` nearly equal bins; blocks are combined the same way,
 level by level, and whole bins are then given to the splits by target share.
@@ -20,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.overlap import split_name
-from quirespark.session import written
+from quirespark.session import release, written
 
+#: Rows from which on a key is a hub; most hubs that are broadcast (in a larger table a hub needs more rows).
+HUB_ROWS, MOST_HUBS = 100_000, 10_000
 #: Equal bins of a manifest, sets in a block, blocks combined at once.
 BINS, BLOCK_SETS, FAN_IN = 256, 4000, 64
 # Stand-ins for an unknown value, lower case.
@@ -34,19 +37,35 @@ def group_value(value: Column) -> Column:
     return F.when(~v.isin(STAND_INS), v)
 
 
-def stars(edges: DataFrame, most: int = 60) -> DataFrame:
+def with_least(rows: DataFrame, key: list[str], value: str, name: str, n: int, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """``rows`` with the smallest ``value`` of their key as ``name``; ``n`` is (about) the number of rows. The smallest values
+    come from partial aggregates; rows of hubs get theirs by broadcast, so that no task holds all rows of a key."""
+    hub = max(hub_rows, n // MOST_HUBS)
+    sums = rows.groupBy(*key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
+    hubs = sums.where(F.col("_n") > hub).drop("_n")  # at most MOST_HUBS rows
+    light = sums.where(F.col("_n") <= hub).drop("_n")
+    of_hubs = rows.join(F.broadcast(hubs), key)
+    return of_hubs.unionByName(rows.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(light, key))
+
+
+def stars(edges: DataFrame, most: int = 60, hub_rows: int = HUB_ROWS) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v``): root is the smallest node of its
     component. Self loops and repeated edges do no harm; null ends are left out."""
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = written(e, "edges"), None
+    e = written(e, "edges")
+    measure = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    before = tuple(e.agg(*measure).first())
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(near, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(hooked.unionByName(near.withColumnRenamed("m", "v")).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        near = with_least(both, ["u"], "v", "m", 2 * before[0], hub_rows)
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        near = with_least(large, ["u"], "v", "m", 2 * before[0], hub_rows)
+        # v = m keeps the edge to the smallest neighbour, every other one moves from the node to that neighbour
+        hooked = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        following = written(hooked.distinct(), "edges")
+        release(e)
+        e = following
+        now = tuple(e.agg(*measure).first())
         if now == before:
             break
         before = now
@@ -66,20 +85,21 @@ def record_sets(records: DataFrame, heads: DataFrame) -> DataFrame:
     node = F.concat_ws("\x01", "manifest_name", "id")
     ties = entries.select(node.alias("node"), "manifest_name", "key", group_value(F.col("value")).alias("value")).where("value IS NOT NULL").distinct()
     ties = written(ties, "ties")
-    first = ties.groupBy("manifest_name", "key", "value").agg(F.min("node").alias("v"))
-    edges = ties.join(first, ["manifest_name", "key", "value"]).select(F.col("node").alias("u"), "v")
+    edges = with_least(ties, ["manifest_name", "key", "value"], "node", "v", ties.count()).select(F.col("node").alias("u"), "v")
     root = stars(edges)
     every = rows.select("manifest_name", "id", node.alias("node")).distinct()
     return every.join(root, "node", "left").select("manifest_name", "id", F.coalesce(F.split_part("root", F.lit("\x01"), F.lit(2)), "id").alias("set_id"))
 
 
 def torn_sets(records: DataFrame, heads: DataFrame) -> DataFrame:
-    """``id, set_id``: all records of each set whose records lie in more than one split now. Records
-    without a split are listed but add none."""
-    sets = written(record_sets(records, heads), "sets")
+    """``id, set_id``: all records of each set whose records lie in more than one split now, of the sets that :func:`new_splits` has
+    placed. Records without a split are listed but add none."""
+    placed = written(new_splits(records, heads), "placed-sets")
     splits = records.select("manifest_name", "id", split_name().alias("split")).where("split IS NOT NULL").distinct()
-    torn = sets.join(splits, ["manifest_name", "id"]).groupBy("manifest_name", "set_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a != b")
-    return sets.join(torn.select("manifest_name", "set_id"), ["manifest_name", "set_id"], "left_semi").select("id", "set_id").distinct()
+    now = placed.join(splits, ["manifest_name", "id"]).groupBy("manifest_name", "set_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a != b")
+    # written, so that adaptive execution can split the rows of a giant set
+    torn = written(now.select("manifest_name", "set_id"), "torn-sets")
+    return placed.join(torn, ["manifest_name", "set_id"], "left_semi").select("id", "set_id").distinct()
 
 
 def difference(items: list[tuple[np.ndarray, list[list[int]]]], bins: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -162,7 +182,8 @@ def balanced_splits(sets: DataFrame, heads: DataFrame, bins: int = BINS, block_s
     share = share.groupBy("manifest_name").agg(F.max_by("s", F.size("s")).alias("s")).select("manifest_name", F.map_keys("s").alias("names"), F.map_values("s").alias("shares"))
     all_bins = totals.join(share, "manifest_name", "left").select("manifest_name", "bin", "weight", F.coalesce("names", F.array(F.lit("training"))).alias("names"), F.coalesce("shares", F.array(F.lit(1.0))).alias("shares"))
     split = all_bins.groupBy("manifest_name").applyInPandas(_to_splits, "manifest_name string, bin int, new_split string")
-    return sets.join(at.join(split, ["manifest_name", "bin"]).select("manifest_name", "set_id", "new_split"), ["manifest_name", "set_id"])
+    of_set = written(at.join(split, ["manifest_name", "bin"]).select("manifest_name", "set_id", "new_split"), "set-splits")  # as in torn_sets
+    return sets.join(of_set, ["manifest_name", "set_id"])
 
 
 def _share_names(heads: DataFrame) -> list[str]:
