@@ -102,40 +102,44 @@ def torn_sets(records: DataFrame, heads: DataFrame) -> DataFrame:
     return placed.join(torn, ["manifest_name", "set_id"], "left_semi").select("id", "set_id").distinct()
 
 
-def difference(items: list[tuple[np.ndarray, list[list[int]]]], bins: int) -> tuple[np.ndarray, list[list[int]]]:
-    """Largest differencing over partial solutions ``(weights descending, members of each bin)``."""
-    heap = [(-(w[0] - w[-1]), k, w, m) for k, (w, m) in enumerate(items)]
+def difference(items: list[np.ndarray], bins: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Largest differencing over partial solutions, each the weights of its bins in descending order: weights of the final
+    bins, and for each item the final bin of each of its bins. Steps keep only how bins were reordered; the places
+    are worked out from the last step back."""
+    heap = [(-(w[0] - w[-1]), k, w) for k, w in enumerate(items)]
     heapq.heapify(heap)
-    tick = len(heap)
+    steps: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, wa, ma = heapq.heappop(heap)
-        _, _, wb, mb = heapq.heappop(heap)
-        w, joined = wa + wb[::-1], []
-        for x, y in zip(ma, reversed(mb)):
-            if len(x) < len(y):
-                x, y = y, x
-            x.extend(y)
-            joined.append(x)
+        _, a, wa = heapq.heappop(heap)
+        _, b, wb = heapq.heappop(heap)
+        w = wa + wb[::-1]
         order = np.argsort(-w, kind="stable")
-        tick += 1
         w = w[order]
-        heapq.heappush(heap, (-(w[0] - w[-1]), tick, w, [joined[i] for i in order]))
-    return heap[0][2], heap[0][3]
+        heapq.heappush(heap, (-(w[0] - w[-1]), len(items) + len(steps), w))
+        steps.append((a, b, order.astype(np.int16)))
+    place: list[np.ndarray] = [np.arange(bins)] * (len(items) + len(steps))
+    for k in range(len(steps) - 1, -1, -1):
+        a, b, order = steps[k]
+        own = np.empty(bins, np.int64)
+        own[order] = place[len(items) + k]
+        place[a], place[b] = own, own[::-1]
+    return heap[0][2], place[: len(items)]
 
 
 def _block_bins(bins: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         """Rows ``unit, slot, weight``; rows of one unit are the bins of a partial solution."""
         frame = frame.sort_values(["unit", "weight", "slot"], ascending=[True, False, True], ignore_index=True)
+        units, weight = frame["unit"].to_numpy(), frame["weight"].to_numpy(np.float64)
+        starts = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1])))
+        ends = np.append(starts[1:], len(frame))
         items = []
-        for rows in frame.groupby("unit", sort=True).indices.values():
+        for a, b in zip(starts, ends):
             w = np.zeros(bins)
-            w[: len(rows)] = frame["weight"].to_numpy()[rows]
-            items.append((w, [[int(r)] for r in rows] + [[] for _ in range(bins - len(rows))]))
-        weights, members = difference(items, bins)
-        to = np.zeros(len(frame), np.int64)
-        for b, rows in enumerate(members):
-            to[rows] = b
+            w[: b - a] = weight[a:b]
+            items.append(w)
+        _, place = difference(items, bins)
+        to = np.concatenate([p[: b - a] for p, a, b in zip(place, starts, ends)])
         return pd.DataFrame({"manifest_name": frame["manifest_name"], "block": frame["block"], "unit": frame["unit"], "slot": frame["slot"], "bin": to})
 
     return run
@@ -167,7 +171,9 @@ def balanced_splits(sets: DataFrame, heads: DataFrame, bins: int = BINS, block_s
     while True:
         units = written(units, "units")
         most = units.agg(F.max("blocks")).first()[0] or 0
-        placed = written(units.select("manifest_name", "block", "unit", "slot", "weight").groupBy("manifest_name", "block").applyInPandas(_block_bins(bins), result), "placed")
+        # a number of partitions that is named isn't lowered: the rows are few but a block is a second of work
+        spread = units.select("manifest_name", "block", "unit", "slot", "weight").repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "manifest_name", "block")
+        placed = written(spread.groupBy("manifest_name", "block").applyInPandas(_block_bins(bins), result), "placed")
         if at is None:
             at = placed.select("manifest_name", F.col("unit").alias("set_id"), F.col("block").alias("b"), "bin")
         else:
