@@ -4,7 +4,8 @@ Rows are hash-partitioned by record and sorted by record inside a partition. Eac
 then runs through its rows once; a term stores its occurrences, its records and the last record
 it was seen in, so no set of records is kept. Since a record lies in one partition, the
 counters of partitions simply add up; a term that holds most rows is spread over all
-partitions and reaches the final sum as one row per partition.
+partitions and reaches the final sum as one row per partition. A partition with very many terms hands
+its counters on whenever it holds ``MOST_TERMS`` and begins anew, which adds up as well.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from quirespark.session import written
 
+#: Terms of a field that a partition keeps; names of a vocabulary that is kept by every task.
+MOST_TERMS, MOST_NAMES = 1_000_000, 100_000
 RARE_BELOW = 3
 COMMON_SHARE = 0.5
 
@@ -59,10 +62,23 @@ class LastSeen:
 
     def rows(self, field: str) -> pa.RecordBatch:
         n = len(self.code)
-        return pa.RecordBatch.from_pydict({"field": pa.array([field] * n, pa.string()), "term": pa.array(list(self.code), pa.string()), "occurrences": pa.array(self.occurrences[:n]), "records": pa.array(self.records[:n])})
+        there = self.occurrences[:n] > 0
+        terms = pa.array(list(self.code), pa.string()).filter(pa.array(there))
+        return pa.RecordBatch.from_pydict({"field": pa.array([field] * len(terms), pa.string()), "term": terms, "occurrences": pa.array(self.occurrences[:n][there]), "records": pa.array(self.records[:n][there])})
+
+    def flushed(self, field: str, record: int) -> pa.RecordBatch:
+        """The rows so far; counting begins anew. Terms of ``record``, which may go on, are remembered as seen in it."""
+        out = self.rows(field)
+        seen = np.flatnonzero(self.last[: len(self.code)] == record)
+        terms = list(self.code)
+        self.__init__()
+        self.code = {terms[k]: i for i, k in enumerate(seen.tolist())}
+        self._room(len(self.code))
+        self.last[: len(seen)] = record
+        return out
 
 
-def count_terms(rows: DataFrame, record: str, order: list[str], fields: list[str], mapped: dict[str, tuple[str, dict[str, str]]] | None = None, unit: str | None = None) -> DataFrame:
+def count_terms(rows: DataFrame, record: str, order: list[str], fields: list[str], mapped: dict[str, tuple[str, dict[str, str]]] | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
     """``field, term, occurrences, records`` for every distinct value of ``fields``.
 
     ``record`` names the record's column; rows that agree in it and in ``order`` are one row sent
@@ -105,6 +121,9 @@ def count_terms(rows: DataFrame, record: str, order: list[str], fields: list[str
                 coded = batch.column(source).filter(keep).dictionary_encode()
                 into = pa.array([names.get(x) for x in coded.dictionary.to_pylist()], pa.string())
                 counters[f].add(into.take(coded.indices), at)
+            for f, c in counters.items():
+                if len(c.code) > most_terms:
+                    yield c.flushed(f, ordinal)
         for f, c in counters.items():
             yield c.rows(f)
         if last is not None:
@@ -115,23 +134,26 @@ def count_terms(rows: DataFrame, record: str, order: list[str], fields: list[str
     return parts.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def entity_types(labels: DataFrame, most: int = 100_000) -> dict[str, str]:
-    """Label name to entity type. The vocabulary is a fixed contract table; one of more than
-    ``most`` names is refused."""
-    rows = labels.where("name IS NOT NULL AND entity_type IS NOT NULL").select("name", "entity_type").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} label names")
-    return {r["name"]: r["entity_type"] for r in rows}
+def entity_types(labels: DataFrame) -> DataFrame:
+    """``name, entity_type`` of the label names that stand for one; a name listed twice has the smaller type."""
+    return labels.where("name IS NOT NULL AND entity_type IS NOT NULL").groupBy("name").agg(F.min("entity_type").alias("entity_type"))
 
 
-def label_terms(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+def label_terms(tokens: DataFrame, labels: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """``field, term, tokens, documents, mark`` of every label and entity type that occurs.
 
     ``mark`` is ``rare`` below ``RARE_BELOW`` documents, ``common`` above ``COMMON_SHARE`` of all
     documents, else null. A document whose labels are all null still counts among all documents.
-    Without rows there are no terms.
+    Without rows there are no terms. A vocabulary of at most ``most_names`` names is looked up by every task; a larger one is joined.
     """
-    counts = written(count_terms(tokens, "document_id", ["page_index", "token_index"], ["label"], {"entity_type": ("label", entity_types(labels))}), "terms")
+    types, key = entity_types(labels), ["page_index", "token_index"]
+    names = types.limit(most_names + 1).collect()
+    if len(names) <= most_names:
+        counts = count_terms(tokens, "document_id", key, ["label"], {"entity_type": ("label", {r["name"]: r["entity_type"] for r in names})})
+    else:
+        joined = tokens.select("document_id", *key, "label").join(written(types.withColumnRenamed("name", "label"), "types"), "label", "left")
+        counts = count_terms(joined, "document_id", key, ["label", "entity_type"])
+    counts = written(counts, "terms")
     total = counts.where("field = '*'").agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     mark = F.when(F.col("records") < RARE_BELOW, "rare").when(F.col("records") > COMMON_SHARE * total, "common")
     return counts.where("field != '*'").select("field", "term", F.col("occurrences").alias("tokens"), F.col("records").alias("documents"), mark.alias("mark"))
