@@ -4,8 +4,9 @@ A payload is canonicalised (nesting, boxes, indexes and collections are written
 different producers) and its objects are hashed bottom-up: a box by its corners, a token by its
 text, label, other fields and its box's hash, a page by its size and the ordered hashes of
 its tokens, a document by its fields and the ordered hashes of its pages. Equal objects have
-equal hashes and are stored once. Every occurrence remains as a bridge row from parent to
-child with the child's ordinal and its index; the raw row is the parent of a document.
+equal hashes and are stored once, each with its own fields and the ordered list of its children; the lists are
+the bridges: every occurrence is a row from parent to child with the child's ordinal and its index. The raw row is
+the parent of a document.
 
 Payload forms: JSON text, JSON inside a JSON string, wrapped in ``res`` (repeatedly); pages as a
 list, one object, or an object keyed by index; tokens in ``tokens`` (list, or object keyed by
@@ -16,23 +17,29 @@ unreadable and has no rows here (see :func:`unreadable`).
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.session import written
 
-LINK = (
-    "raw_id long, kind string, parent binary, ordinal int, index int, hash binary, box binary, text string, label string, "
+#: Stored objects of all kinds; ``root`` rows tie raw rows to documents.
+OBJECT = (
+    "kind string, raw_id long, hash binary, children array<struct<ordinal:int,index:int,hash:binary,labelled:boolean>>, box binary, text string, label string, "
     "x_min double, y_min double, x_max double, y_max double, image_width double, image_height double, document_id string, schema_version string, label_schema_version string, extra string"
 )
-_COLUMNS = [c.split()[0] for c in LINK.split(", ")]
+#: Kinds of objects, each with its own fields.
+KINDS = {
+    "document": ["document_id", "schema_version", "label_schema_version", "extra"], "page": ["image_width", "image_height", "extra"],
+    "token": ["text", "label", "box", "extra"], "box": ["x_min", "y_min", "x_max", "y_max"],
+}
 # Fields that hold a page's tokens, or parts of a page that do.
 PARTS = ("lines", "blocks", "paragraphs", "regions")
 _NUMBER = re.compile(r"\s*[+-]?\d+(\.0*)?\s*$")
@@ -142,23 +149,44 @@ def _text(value: Any) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def _hash(*parts: Any) -> bytes:
-    return hashlib.blake2b(json.dumps([p.hex() if isinstance(p, bytes) else p for p in parts], ensure_ascii=False, sort_keys=True).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+_TOKEN = frozenset({"token_index", "text", "label", "bounding_box", "box", "bbox"})
+_PAGE = frozenset({"page_index", "image_width", "image_height", "tokens", *PARTS})
+_DOCUMENT = frozenset({"document_id", "schema_version", "label_schema_version", "pages"})
+_CORNERS = {"x_min", "y_min", "x_max", "y_max"}
 
 
-def _rest(value: dict, known: tuple[str, ...]) -> str | None:
-    rest = {k: v for k, v in value.items() if k not in known}
-    return json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
+def _hash(value: tuple, *children: bytes) -> bytes:
+    return blake2b(b"".join((repr(value).encode("utf-8", "surrogatepass"), *children)), digest_size=16).digest()
+
+
+def _rest(value: dict, known: frozenset) -> str | None:
+    if value.keys() <= known:
+        return None
+    return json.dumps({k: v for k, v in value.items() if k not in known}, ensure_ascii=False, sort_keys=True)
+
+
+def _box(token: dict) -> tuple | None:
+    box = token.get("bounding_box")
+    if type(box) is dict and box.keys() == _CORNERS:
+        got = box["x_min"], box["y_min"], box["x_max"], box["y_max"]
+        if all(type(x) is float and x - x == 0 or type(x) is int and -(1 << 53) < x < 1 << 53 for x in got):
+            return tuple(map(float, got))
+    return corners(_first(box, token.get("box"), token.get("bbox")))
 
 
 class Shredder:
-    """Emits the link rows of payloads; an object met before in the same task emits its own inner
-    links no more (they are equal)."""
+    """Collects the objects of payloads; one met before in the same task is collected no more. ``kinds`` are those
+    that are asked for; hashes are made of all."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, kinds: tuple[str, ...] = tuple(KINDS), most: int = 200_000):
         self.seen: set[bytes] = set()
-        self.most = most
-        self.rows: list[tuple] = []
+        self.most, self.kinds, self.count = most, frozenset(kinds), 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = 0
+        self.roots: tuple[list, list] = ([], [])
+        self.of: dict[str, tuple[list, list, list]] = {k: ([], [], []) for k in KINDS}  # hashes, lists of children, own fields
 
     def _new(self, h: bytes) -> bool:
         if h in self.seen:
@@ -168,92 +196,151 @@ class Shredder:
         self.seen.add(h)
         return True
 
-    def _emit(self, **values: Any) -> None:
-        self.rows.append(tuple(values.get(c) for c in _COLUMNS))
-
-    def _token(self, token: dict) -> tuple[bytes, dict, tuple | None]:
-        box = corners(_first(token.get("bounding_box"), token.get("box"), token.get("bbox")))
-        box_hash = _hash("box", *box) if box is not None else None
-        values = {"text": _text(token.get("text")), "label": _text(token.get("label")), "box": box_hash, "extra": _rest(token, ("token_index", "text", "label", "bounding_box", "box", "bbox"))}
-        return _hash("token", *values.values()), values, box
-
-    def _page(self, page: dict) -> tuple[bytes, dict, list]:
+    def _store(self, kind: str, h: bytes, children: list, fields: tuple) -> None:
+        if kind in self.kinds:
+            hashes, lists, values = self.of[kind]
+            hashes.append(h)
+            lists.append(children)
+            values.append(fields)
+            self.count += 1 + len(children)
+
+    def _token(self, token: dict) -> tuple[bytes, bool]:
+        box, text, label = _box(token), _text(token.get("text")), _text(token.get("label"))
+        extra = _rest(token, _TOKEN)
+        box_hash = _hash(box) if box is not None else b""
+        h = _hash((text, label, extra), box_hash)
+        if "token" in self.kinds and self._new(h):
+            self._store("token", h, [], (text, label, box_hash or None, extra))
+            if box is not None and self._new(box_hash):
+                self._store("box", box_hash, [], box)
+        return h, box is not None and bool(label)
+
+    def _page(self, page: dict) -> bytes:
         tokens = []
         for place, (key, token) in enumerate(page_tokens(page)):
             if isinstance(token, dict):
-                tokens.append((place, _first(whole_number(token.get("token_index")), key, place), *self._token(token)))
-        values = {"image_width": number(page.get("image_width")), "image_height": number(page.get("image_height")), "extra": _rest(page, ("page_index", "image_width", "image_height", "tokens", *PARTS))}
-        return _hash("page", *values.values(), [(p, i, h.hex()) for p, i, h, _, _ in tokens]), values, tokens
+                own = token.get("token_index")
+                if type(own) is not int or not -(1 << 31) <= own < 1 << 31:
+                    own = _first(whole_number(own), key, place)
+                tokens.append((place, own, *self._token(token)))
+        fields = number(page.get("image_width")), number(page.get("image_height")), _rest(page, _PAGE)
+        h = _hash((*fields, [t[:2] for t in tokens]), *(t[2] for t in tokens))
+        if self._new(h):
+            self._store("page", h, tokens, fields)
+        return h
 
     def add(self, raw_id: int, document: dict) -> None:
         pages = []
         for place, (key, page) in enumerate(_keyed(document.get("pages"), ("page_index", "image_width", "tokens", *PARTS))):
             if isinstance(page, dict):
-                pages.append((place, _first(whole_number(page.get("page_index")), key, place), *self._page(page)))
-        values = {"document_id": _text(document.get("document_id")), "schema_version": _text(document.get("schema_version")), "label_schema_version": _text(document.get("label_schema_version")), "extra": _rest(document, ("document_id", "schema_version", "label_schema_version", "pages"))}
-        h = _hash("document", *values.values(), [(p, i, x.hex()) for p, i, x, _, _ in pages])
-        self._emit(raw_id=raw_id, kind="document", ordinal=0, hash=h, **values)
-        if not self._new(h):
-            return
-        for place, index, page_hash, page, tokens in pages:
-            self._emit(kind="page", parent=h, ordinal=place, index=index, hash=page_hash, **page)
-            if not self._new(page_hash):
-                continue
-            for at, number_, token_hash, token, box in tokens:
-                self._emit(kind="token", parent=page_hash, ordinal=at, index=number_, hash=token_hash, **token)
-                if box is not None and self._new(token_hash):
-                    self._emit(kind="box", parent=token_hash, ordinal=0, hash=token["box"], **dict(zip(("x_min", "y_min", "x_max", "y_max"), box)))
-
-
-def _shred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shredder = Shredder()
-    for batch in batches:
-        for raw_id, payload in zip(batch["raw_id"], batch["payload"]):
-            try:
-                shredder.add(raw_id, read_payload(payload))
-            except Unreadable:
-                continue
-            if len(shredder.rows) > 20_000:
-                yield _frame(shredder.rows)
-                shredder.rows = []
-    yield _frame(shredder.rows)
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"raw_id": "Int64", "ordinal": "Int32", "index": "Int32", **{c: "Float64" for c in ("x_min", "y_min", "x_max", "y_max", "image_width", "image_height")}})
+                pages.append((place, _first(whole_number(page.get("page_index")), key, place), self._page(page), None))
+        fields = _text(document.get("document_id")), _text(document.get("schema_version")), _text(document.get("label_schema_version")), _rest(document, _DOCUMENT)
+        h = _hash((*fields, [p[:2] for p in pages]), *(p[2] for p in pages))
+        self.roots[0].append(raw_id)
+        self.roots[1].append(h)
+        self.count += 1
+        if self._new(h):
+            self._store("document", h, pages, fields)
+
+    def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """What was collected, a batch a kind."""
+        yield _batch(schema, {"kind": ["root"] * len(self.roots[0]), "raw_id": self.roots[0], "hash": self.roots[1]})
+        for kind, (hashes, lists, values) in self.of.items():
+            if hashes:
+                columns = {"kind": [kind] * len(hashes), "hash": hashes} | dict(zip(KINDS[kind], zip(*values)))
+                if kind in ("document", "page"):
+                    flat = [c for own in lists for c in own]
+                    ends = [0]
+                    for own in lists:
+                        ends.append(ends[-1] + len(own))
+                    parts = list(zip(*flat)) if flat else [(), (), (), ()]
+                    item = schema.field("children").type.value_type
+                    columns["children"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, item)], fields=list(item)), type=schema.field("children").type)
+                yield _batch(schema, columns)
+        self.clear()
+
+
+def _batch(schema: pa.Schema, columns: dict[str, Any]) -> pa.RecordBatch:
+    n = len(columns["kind"])
+    arrays = [pa.nulls(n, f.type) if f.name not in columns else columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(_utf8(columns[f.name], f.type), f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _utf8(values: Any, kind: pa.DataType) -> Any:
+    """Texts with half of a surrogate pair, which JSON can hold and UTF-8 can't, have a question mark there."""
+    if pa.types.is_string(kind):
+        return [v if v is None or v.isascii() else v.encode("utf-8", "replace").decode() for v in values]
+    return values
+
+
+def _schema() -> pa.Schema:
+    child = pa.struct([("ordinal", pa.int32()), ("index", pa.int32()), ("hash", pa.binary()), ("labelled", pa.bool_())])
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.schema([(n, pa.list_(child) if n == "children" else kinds[t]) for n, t in (c.split()[:2] for c in OBJECT.split(", "))])
+
+
+def _shred(kinds: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shredder, schema = Shredder(kinds), _schema()
+        for batch in batches:
+            for raw_id, payload in zip(batch.column("raw_id").to_pylist(), batch.column("payload").to_pylist()):
+                try:
+                    shredder.add(raw_id, read_payload(payload))
+                except Unreadable:
+                    continue
+                if shredder.count > 50_000:
+                    yield from shredder.batches(schema)
+        yield from shredder.batches(schema)
+
+    return run
 
 
 class NestedTables:
     """The related tables of ``raw`` (``raw_id, payload``). Rows without a raw_id are left out; a row sent twice gives
-    the same rows and hashes and counts once."""
+    the same rows and hashes and counts once. ``kinds`` are the kinds of objects that will be asked for; documents and
+    pages, which hold the bridges, always are."""
 
-    def __init__(self, raw: DataFrame):
+    def __init__(self, raw: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)):
         self.raw = raw
-        links = raw.where("raw_id IS NOT NULL").select("raw_id", "payload").mapInPandas(_shred, LINK)
-        self._links = written(links, "nested-links")
+        rows = raw.where("raw_id IS NOT NULL").select("raw_id", "payload")
+        self._objects = written(rows.mapInArrow(_shred(("document", "page", *kinds)), OBJECT), "nested-objects")
+        self._once: dict[tuple, DataFrame] = {}
+
+    def _stored(self, kind: str, *columns) -> DataFrame:
+        """``hash`` and the columns of each object of a kind once. It is a table of its own, so that adaptive execution can
+        split the rows of an object that very many others hold."""
+        key = (kind, *map(str, columns))
+        if key not in self._once:
+            rows = self._objects.where(F.col("kind") == kind).select("hash", *columns)
+            self._once[key] = written(rows.groupBy("hash").agg(*[F.first(c).alias(c) for c in rows.columns[1:]]), f"nested-{kind}")
+        return self._once[key]
 
     def objects(self, kind: str) -> DataFrame:
         """Each object of a kind (``document``, ``page``, ``token``, ``box``) once, with its own fields."""
-        own = {"document": ["document_id", "schema_version", "label_schema_version", "extra"], "page": ["image_width", "image_height", "extra"], "token": ["text", "label", "box", "extra"], "box": ["x_min", "y_min", "x_max", "y_max"]}[kind]
-        return self._links.where(F.col("kind") == kind).groupBy("hash").agg(*[F.first(c).alias(c) for c in own])
+        return self._stored(kind, *KINDS[kind])
 
     def roots(self) -> DataFrame:
         """``raw_id, hash`` of the document of every readable raw row."""
-        return self._links.where("kind = 'document'").select("raw_id", "hash").distinct()
+        return self._objects.where("kind = 'root'").select("raw_id", "hash").distinct()
 
     def bridge(self, kind: str) -> DataFrame:
-        """``parent, ordinal, index, hash``: places of the objects of a kind inside their parents."""
-        return self._links.where(F.col("kind") == kind).select("parent", "ordinal", "index", "hash").distinct()
+        """``parent, ordinal, index, hash``: places of the objects of a kind inside their parents; the parents of documents are raw ids (as text)."""
+        if kind == "document":
+            return self.roots().select(F.col("raw_id").cast("string").cast("binary").alias("parent"), F.lit(0).alias("ordinal"), F.lit(None).cast("int").alias("index"), "hash")
+        if kind == "box":
+            return self.objects("token").where("box IS NOT NULL").select(F.col("hash").alias("parent"), F.lit(0).alias("ordinal"), F.lit(None).cast("int").alias("index"), F.col("box").alias("hash"))
+        parent = {"page": "document", "token": "page"}[kind]
+        return self._stored(parent, "children").select(F.col("hash").alias("parent"), F.explode("children").alias("c")).select("parent", "c.ordinal", "c.index", "c.hash")
 
     def page_places(self) -> DataFrame:
         """``raw_id, page_ordinal, page_index, page`` of every page of every raw row."""
-        pages = self.bridge("page").select("parent", F.col("ordinal").alias("page_ordinal"), F.col("index").alias("page_index"), F.col("hash").alias("page"))
-        return self.roots().withColumnRenamed("hash", "parent").join(pages, "parent").drop("parent")
+        held = self.roots().join(self._stored("document", "children"), "hash").select("raw_id", F.explode("children").alias("c"))
+        return held.select("raw_id", F.col("c.ordinal").alias("page_ordinal"), F.col("c.index").alias("page_index"), F.col("c.hash").alias("page"))
 
     def token_places(self) -> DataFrame:
         """``raw_id, page_ordinal, page_index, token_ordinal, token_index, token`` of every token occurrence."""
-        tokens = self.bridge("token").select(F.col("parent").alias("page"), F.col("ordinal").alias("token_ordinal"), F.col("index").alias("token_index"), F.col("hash").alias("token"))
-        return self.page_places().join(tokens, "page").drop("page")
+        held = self.page_places().join(self._stored("page", "children").withColumnRenamed("hash", "page"), "page")
+        return held.select("raw_id", "page_ordinal", "page_index", F.explode("children").alias("c")).select("raw_id", "page_ordinal", "page_index", F.col("c.ordinal").alias("token_ordinal"), F.col("c.index").alias("token_index"), F.col("c.hash").alias("token"))
 
     def documents(self) -> DataFrame:
         """Flat documents: ``raw_id, document, document_id, schema_version, label_schema_version, extra``."""
@@ -271,18 +358,27 @@ class NestedTables:
         return self.token_places().join(whole, "token")
 
     def labelled_tokens(self) -> DataFrame:
-        """``raw_id, page_index, token_index`` of the tokens with both a box and a label, each once."""
-        good = self.objects("token").where("box IS NOT NULL AND label != ''").select(F.col("hash").alias("token"))
-        return self.token_places().join(good, "token", "left_semi").select("raw_id", "page_index", "token_index").distinct()
+        """``raw_id, page_index, token_index`` of the tokens with both a box and a label, each once. The lists of a page's children say
+        which are, so neither tokens nor boxes are read."""
+        good = F.array_distinct(F.transform(F.filter("children", lambda c: c["labelled"]), lambda c: c["index"])).alias("at")
+        pages = self._stored("page", good).withColumnRenamed("hash", "page")
+        held = self.page_places().select("raw_id", "page_index", "page").distinct().join(pages, "page")
+        # two pages of a document can have the same index
+        return held.select("raw_id", "page_index", F.explode("at").alias("token_index")).distinct()
 
     def sharing(self) -> DataFrame:
         """``kind, objects, bridge_rows, occurrences``: how often objects are shared. Occurrences are counted along
-        the bridges from the raw rows."""
+        the bridges from the raw rows; boxes occur with their tokens."""
         roots, pages, tokens = self.roots(), self.page_places(), self.token_places()
-        counts = [roots.agg(F.lit("document").alias("kind"), F.count("*").alias("occurrences")), pages.agg(F.lit("page").alias("kind"), F.count("*").alias("occurrences")), tokens.agg(F.lit("token").alias("kind"), F.count("*").alias("occurrences"))]
-        occurrences = counts[0].unionByName(counts[1]).unionByName(counts[2])
-        stored = self._links.groupBy("kind").agg(F.countDistinct("hash").alias("objects"), F.countDistinct(F.struct("parent", "ordinal", "index", "hash")).alias("bridge_rows"))
-        return stored.join(F.broadcast(occurrences), "kind", "left").select("kind", "objects", "bridge_rows", "occurrences")  # three rows
+        count = lambda df, k: df.agg(F.lit(k).alias("kind"), F.count("*").alias("occurrences"))
+        boxes = tokens.join(self.objects("token").where("box IS NOT NULL").select(F.col("hash").alias("token")), "token", "left_semi")
+        occurrences = count(roots, "document").unionByName(count(pages, "page")).unionByName(count(tokens, "token")).unionByName(count(boxes, "box"))
+        stored = self._objects.where("kind != 'root'").groupBy("kind").agg(F.countDistinct("hash").alias("objects"))
+        bridges = None
+        for k in KINDS:
+            one = self.bridge(k).agg(F.lit(k).alias("kind"), F.count("*").alias("bridge_rows"))
+            bridges = one if bridges is None else bridges.unionByName(one)
+        return stored.join(F.broadcast(bridges), "kind").join(F.broadcast(occurrences), "kind").select("kind", "objects", "bridge_rows", "occurrences")  # four rows each
 
 
 def unreadable(raw: DataFrame) -> DataFrame:

@@ -48,8 +48,9 @@ def test_equal_objects_are_stored_once_and_every_occurrence_stays(spark):
     page = {"page_index": 0, "tokens": [token, token | {"token_index": 1}]}
     t, _ = tables(spark, [{"document_id": "d", "pages": [page, page | {"page_index": 1}]}, {"pages": [page]}, {"document_id": "d", "pages": [page, page | {"page_index": 1}]}])
     assert [t.objects(k).count() for k in ("box", "token", "page", "document")] == [1, 1, 1, 2]
+    assert [t.bridge(k).count() for k in ("box", "token", "page", "document")] == [1, 2, 3, 3]
     assert t.token_places().count() == 10 and t.tokens().where("x_max = 3.0 AND has_box").count() == 10
-    assert {r["kind"]: r["occurrences"] for r in t.sharing().collect()} == {"document": 3, "page": 5, "token": 10, "box": None}
+    assert {r["kind"]: r["occurrences"] for r in t.sharing().collect()} == {"document": 3, "page": 5, "token": 10, "box": 10}
 
 
 def test_rows_sent_twice_and_empty_tables(spark):
@@ -67,5 +68,10 @@ def test_round_trip_of_a_deep_and_long_payload(spark):
     assert back == [(x["token_index"], x["text"], float(x["bounding_box"][0])) for x in tokens]
 
 
+def test_texts_that_utf8_cannot_hold(spark):
+    t, _ = tables(spark, ['{"pages": [{"tokens": [{"text": "a\\ud800", "label": "O", "bounding_box": [1, 2, 3, 4]}]}]}'])
+    assert [r["text"] for r in t.tokens().collect()] == ["a?"]
+
+
 def test_read_payload_unwraps():
     assert read_payload('{"res": "{\\"pages\\": []}"}') == {"pages": []}
