@@ -25,19 +25,34 @@ class KeywordRules:
     labels: tuple[str, str] = LABELS
 
 
+def page_flags(page: Column, rules: KeywordRules) -> list[Column]:
+    """For each signal whether a page in its normal form (:func:`normal_page`) holds it as whole words."""
+    return [has_phrase(page, normalised(F.lit(s))) for s in rules.signals]
+
+
+def normal_page(text: Column) -> Column:
+    """A page's text for :func:`page_flags`; null and blank pages hold nothing."""
+    return normalised(F.coalesce(text, F.lit("")))
+
+
+def decided(flags: list[Column], rules: KeywordRules) -> list[Column]:
+    """``label, decision_score, decision_threshold, matched_signals`` from a document's flags."""
+    matched = F.array_compact(F.array(*[F.when(f, F.lit(s)) for f, s in zip(flags, rules.signals)]))
+    score = F.size(matched) / F.lit(float(len(rules.signals)))
+    label = F.when(score >= rules.threshold, rules.labels[0]).otherwise(rules.labels[1])
+    return [label.alias("label"), score.alias("decision_score"), F.lit(rules.threshold).alias("decision_threshold"), matched.alias("matched_signals")]
+
+
 def classify(pages: DataFrame, rules: KeywordRules = KeywordRules()) -> DataFrame:
     """``document_id, label, decision_score, decision_threshold, matched_signals`` of documents given by page rows ``document_id, text``.
 
     A signal counts once if some page holds it as whole normalised words; it never spans pages. Null and blank pages match nothing.
     One shuffle by document, after each page is reduced to one flag a signal.
     """
-    page = normalised(F.coalesce(F.col("text"), F.lit("")))
-    flags = [F.max(has_phrase(F.col("_page"), normalised(F.lit(s)))).alias(f"_{k}") for k, s in enumerate(rules.signals)]
-    seen = pages.select("document_id", page.alias("_page")).groupBy("document_id").agg(*flags)
-    matched = F.filter(F.array(*[F.when(F.col(f"_{k}"), F.lit(s)) for k, s in enumerate(rules.signals)]), lambda s: s.isNotNull())
-    score = F.size("matched_signals") / F.lit(float(len(rules.signals)))
-    label = F.when(F.col("decision_score") >= rules.threshold, rules.labels[0]).otherwise(rules.labels[1])
-    return seen.select("document_id", matched.alias("matched_signals")).withColumn("decision_score", score).select("document_id", label.alias("label"), "decision_score", F.lit(rules.threshold).alias("decision_threshold"), "matched_signals")
+    names = [f"_{k}" for k in range(len(rules.signals))]
+    page = pages.select("document_id", normal_page(F.col("text")).alias("_page"))
+    flags = [F.max(f).alias(n) for n, f in zip(names, page_flags(F.col("_page"), rules))]
+    return page.groupBy("document_id").agg(*flags).select("document_id", *decided([F.col(n) for n in names], rules))
 
 
 def _grid(slices: DataFrame, labels: tuple[str, ...]) -> DataFrame:

@@ -8,15 +8,31 @@ from quirespark.functions import text as tx
 from quirespark.functions.distance import char_edits, word_edits
 from quirespark.functions.geometry import first_max, overlap, softmax
 from quirespark.operators import bio, calibration, classification, detection, entities, extraction, layout, manifest, monitoring, pipeline, recognition, tokens
-from quirespark.operators.nested import NestedTables, unreadable
+from quirespark.operators.nested import KINDS, NestedTables, unreadable
 from quirespark.plans import fixtures as fx
 from quirespark.plans import twins
 from quirespark.session import table
 from quirespark.sources import writers
 
 
-def _nested(spark, d):
-    return NestedTables(table(spark, d, "annotation_raw"))
+def _nested(spark, d, *kinds):
+    return NestedTables(table(spark, d, "annotation_raw"), kinds)
+
+
+def _stored_objects(spark, d):
+    t, out = _nested(spark, d, *KINDS), None
+    for k, own in KINDS.items():
+        one = t.objects(k).select(F.lit(k).alias("kind"), "hash", F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("fields"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _bridges(spark, d):
+    t, out = _nested(spark, d, *KINDS), None
+    for k in KINDS:
+        one = t.bridge(k).select(F.lit(k).alias("kind"), "parent", "ordinal", "index", "hash")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _labels(spark, d):
@@ -120,6 +136,11 @@ def _manifest(spark, d):
     return table(spark, d, "manifest"), table(spark, d, "manifest_head")
 
 
+def _references(spark, d):
+    found = extraction.entities(tokens.page_texts(fx.tokens(spark, d), with_tokens=True))
+    return found.select("document_id", "page_index", "entity_type", "raw_value", "rule_id", "n_tokens", F.explode("token_references").alias("token_index"))
+
+
 def _inference(spark, d):
     return pipeline.infer(fx.ocr_pages(spark, d)).select("document_id", "label", F.size("entities").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.transform("entities", lambda e: F.concat(e["entity_type"], F.lit("="), e["raw_value"]))), "|").alias("entities"))
 
@@ -159,7 +180,8 @@ def queries() -> dict:
         "keyword_classify": _classified_pages,
         "keyword_classify_documents": _corpus_classes,
         "normalize_text": _normalized,
-        "extract_entities": lambda s, d: extraction.entities(fx.ocr_pages(s, d)),
+        "extract_entities": lambda s, d: extraction.entities(fx.ocr_pages(s, d)).drop("token_references"),
+        "extract_token_references": _references,
         "extract_field_coverage": lambda s, d: extraction.entities(fx.ocr_pages(s, d)).groupBy("entity_type").agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("entities")),
         "page_texts": lambda s, d: tokens.page_texts(fx.tokens(s, d)),
         "token_offsets": lambda s, d: tokens.offsets(fx.tokens(s, d)),
@@ -208,8 +230,10 @@ def queries() -> dict:
         "p2_found": lambda s, d: _nested(s, d).labelled_tokens(),
         "p2_documents": lambda s, d: _nested(s, d).documents(),
         "p2_pages": lambda s, d: _nested(s, d).pages(),
-        "p2_tokens": lambda s, d: _nested(s, d).tokens(),
-        "p2_sharing": lambda s, d: _nested(s, d).sharing(),
+        "p2_tokens": lambda s, d: _nested(s, d, "token", "box").tokens(),
+        "p2_objects": _stored_objects,
+        "p2_bridges": _bridges,
+        "p2_sharing": lambda s, d: _nested(s, d, "token", "box").sharing(),
         "p2_unreadable": lambda s, d: unreadable(table(s, d, "annotation_raw")),
     }
 

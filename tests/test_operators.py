@@ -3,8 +3,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirespark.operators import bio, calibration, classification, detection, entities, extraction, layout, manifest, monitoring, pipeline, recognition, tokens
@@ -40,13 +43,45 @@ def test_extraction_keeps_values_and_tokens(spark):
 def test_extraction_rules_beside_the_native_form(spark):
     rule = (extraction.Rule("middle", "SELLER_NAME", r"by (?P<value>[A-Z]\w+) Ltd"),)
     assert rule[0].tail() is None
-    assert rows(extraction.entities(spark.createDataFrame([("a", 0, "sold by Acme Ltd")], PAGE), rule)) == [("a", 0, "SELLER_NAME", "Acme", "middle", 2, 2, 1)]
+    assert rows(extraction.entities(spark.createDataFrame([("a", 0, "sold by Acme Ltd")], PAGE), rule)) == [("a", 0, "SELLER_NAME", "Acme", "middle", [2], 2, 2, 1)]
     native = extraction.spans(spark.createDataFrame([("a", 0, "x Invoice No: INV-123 y")], PAGE)).collect()
     assert [(r["start"], r["value"]) for r in native] == [(14, "INV-123")]
     with pytest.raises(ValueError):
         extraction.Rule("none", "SELLER_NAME", "x(y)")
 
 
+def test_entities_refer_to_the_tokens_their_values_touch(spark):
+    texts = {"a": ["Invoice No:", "INV-123", "x"], "b": ["pay", "Amount Due: $ 12", "USD now"], "c": ["Invoice", None, "", "Date", "1/2", "/24"], "d": ["\ue000", "invoice # AB1", "\ue001"], "e": ["invoice #", "AB1 invoice", "# AB1"]}
+    t = spark.createDataFrame([(d, 0, 10 + k, w) for d, own in texts.items() for k, w in enumerate(own)], "document_id string, page_index int, token_index int, text string")
+    got = rows(extraction.entities(tokens.page_texts(t, with_tokens=True)).select("document_id", "raw_value", "token_references"), "document_id", "raw_value", "token_references")
+    assert got == [("a", "INV-123", [11]), ("b", "$ 12 USD", [11, 12]), ("c", "1/2", [14]), ("d", "AB1", [11]), ("e", "AB1", [11]), ("e", "AB1", [12])] or got == [
+        ("a", "INV-123", [11]), ("b", "$ 12 USD", [11, 12]), ("d", "AB1", [11]), ("e", "AB1", [11]), ("e", "AB1", [12])
+    ]
+    found = {r["document_id"]: r for r in pipeline.infer_tokens(t).collect()}
+    assert [e["token_references"] for e in found["b"]["entities"]] == [[11, 12]] and found["b"]["decision_score"] > 0 and len(found) == 5
+    both = pipeline.infer_tokens(t, extract=lambda p: extraction.entities(p))  # a stage of one's own
+    assert sorted(map(str, both.collect())) == sorted(map(str, found.values()))
+
+
+RULE_TEXTS = st.text(alphabet="iInNvVoOcCeE:#-. \u0085\u00a0\u001c\u001f\t\n12A\u0130\u017f\u00e9_\ue000", max_size=25)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(RULE_TEXTS, RULE_TEXTS), min_size=1, max_size=20))
+def test_the_jvm_finds_what_python_finds(spark, pairs):
+    texts = [f"{a}Invoice No{b}A12{a}" for a, b in pairs] + ["invoice no:\x1cA123", "\u00e9invoice no A12", "_invoice no A12", "invoice no\u2003A12"]
+    rules = (extraction.RULES[0], extraction.Rule("w", "SELLER_NAME", r"\bno(?P<value>\W*[\w\s]{1,4}.)"))
+    assert all(r.tail() for r in rules)
+    want = sorted((str(k), n, j, m.start("value"), m.group("value")) for k, t in enumerate(texts) for n, r in enumerate(rules) for j, m in enumerate(re.compile(r.pattern, re.I).finditer(t)))
+    got = rows(extraction.spans(spark.createDataFrame([(str(k), 0, t) for k, t in enumerate(texts)], PAGE), rules).select("document_id", "rule", "match", "start", "value"))
+    assert sorted(got) == want
+
+
+def test_rules_that_the_jvm_treats_differently_stay_in_python():
+    for pattern in (r"a$(?P<value>b)", r"(?=a)(?P<value>b)", r"(a)(?P<value>\1)", r"[\W](?P<value>b)", r"a(?P<value>b)c", r"a(?P<value>b\Z)", r"(?P<value>b)(?P<x>c)"):
+        assert extraction.Rule("r", "SELLER_NAME", pattern).tail() is None, pattern
+
+
 TOKEN = "document_id string, page_index int, token_index int, text string, label string"
 
 
@@ -69,10 +104,18 @@ def test_tokens_offsets_gaps_and_engine_payloads(spark):
     assert rows(tokens.gaps(df)) == [("a", 0, 3, 2)]
     schema = "document_id string, result_index int, page_index int, rec_texts array<string>, rec_scores array<double>, rec_boxes array<array<double>>, rec_polys array<array<array<double>>>"
     poly = [[10.0, 20.0], [52.0, 18.0], [50.0, 32.0]]
-    pages = spark.createDataFrame([("a", 4, None, [" ", "x", "", "y"], [0.1, 0.2, 0.3, 0.4], None, [poly] * 4), ("a", 0, 7, ["z"], [1.5], [[1.0, 2.0, 3.0, 4.0]], None), ("b", 0, 0, ["z"], [], None, None)], schema)
+    pages = spark.createDataFrame([("a", 4, None, [" ", "x", "", "y"], [0.1, 0.2, 0.3, 0.4], None, [poly] * 4), ("a", 0, 5, ["z"], [0.5], [[1.0, 2.0, 3.0, 4.0]], [poly] * 9)]
+        # two texts with one polygon, wrong boxes beside polygons that fit, a confidence above 1, an empty box, a null text
+        + [(d, k, None, *x) for k, (d, x) in enumerate([("b", (["z"], [], None, None)), ("c", (["z"], [7.0], [[1.0, 2.0, 3.0, 4.0]], None)), ("d", (["z", "y"], [0.5, 0.5], None, [poly])), ("e", (["z"], [0.5], [], [poly])), ("f", (["z"], [0.5], [[1.0, 2.0, 1.0, 4.0]], None)), ("g", ([None], [0.5], [[1.0, 2.0, 3.0, 4.0]], None)), ("h", (["z"], [0.5], [[1.0, 2.0, 3.0]], None)), ("i", ([], [], [], None))])], schema)
     got = rows(tokens.from_engine(pages).select("page_index", "token_index", "text", "bounding_box.x_min", "bounding_box.y_max", "confidence"), "page_index", "token_index")
-    assert got == [(4, 0, "x", 10.0, 32.0, 0.2), (4, 1, "y", 10.0, 32.0, 0.4), (7, 0, "z", 1.0, 4.0, 1.5)]
-    assert {(r["document_id"], r["issue"]) for r in tokens.engine_issues(pages).collect()} == {("a", "invalid_confidence"), ("b", "length_mismatch")}
+    assert got == [(4, 0, "x", 10.0, 32.0, 0.2), (4, 1, "y", 10.0, 32.0, 0.4), (5, 0, "z", 1.0, 4.0, 0.5)]
+    assert {(r["document_id"], r["issue"]) for r in tokens.engine_issues(pages).collect()} == {("b", "missing_array"), ("c", "invalid_confidence"), ("d", "length_mismatch"), ("e", "length_mismatch"), ("f", "invalid_geometry"), ("g", "invalid_text"), ("h", "invalid_geometry")}
+    payloads = ['{"res": {"page_index": 3, "rec_texts": ["x"], "rec_scores": [0.5], "rec_boxes": [[1, 2, 3, 4]]}}', '{"rec_texts": ["x", " "], "rec_scores": [1, 0], "rec_boxes": [[[1, 2], [3, 2], [3, 4]], [[0, 0]]]}', '{"rec_texts": ["x"], "rec_scores": [0.5], "rec_polys": [[[1, 2], [3, 2], [3, 4]]]}', '{"rec_texts": "x"}', "[]", "{"]
+    results = tokens.engine_pages(spark.createDataFrame([("p", k, p) for k, p in enumerate(payloads)], "document_id string, result_index int, payload string"))
+    assert rows(tokens.from_engine(results).select("page_index", "token_index", "bounding_box.x_min", "bounding_box.y_max"), "page_index") == [(1, 0, 1.0, 4.0), (2, 0, 1.0, 4.0), (3, 0, 1.0, 4.0)]
+    assert [r["issue"] for r in tokens.engine_issues(results).orderBy("result_index").collect()] == ["missing_array"] * 3
+    names = tokens.with_document_ids(spark.createDataFrame([("file:/a/b.pdf", None), ("c.png", "own"), ("/x/d", "")], "path string, document_id string"))
+    assert [r["document_id"] for r in names.collect()] == ["b.pdf", "own", "d"]
 
 
 def brute_matching(options):
