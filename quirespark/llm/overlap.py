@@ -14,11 +14,13 @@ keeps every true pair when weights differ.
    contribute; a record with more than k of those has no partner and leaves the join.
 3. Residual-norm pruning: components are ordered from heavy to light; only those are put into
    the inverted lists after which the residual weight still reaches the bound.
-4. Lists of train and held-out records are joined by component; lists that are long on both
-   sides are split by a salt. Partial dot products plus residuals prune again.
+4. Lists of train and held-out records are joined by component; both sides of a long list are cut into
+   parts, and every part meets every part of the other side in a task of its own, however long the list.
+   Partial dot products plus residuals prune again.
 5. Exact dot products of the remaining pairs, then an exact word edit distance.
 
-Texts that are equal are one class from the start; only class representatives are joined.
+Texts that are equal are one class from the start; only class representatives are joined. Pairs of records, where they
+are asked for, come from arrays of at most about ``CHUNK`` members of a class and side.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from quirespark.session import maybe_broadcast, written
 
 #: Buckets of the weight table: 8 bytes each on the driver and in each Python worker.
 BUCKETS = 1 << 20
-#: A component's list is split when train rows times held-out rows of its bucket exceed this.
-LIST_PRODUCT = 1 << 22
+#: Rows of either side that meet in one task of a component's list, about.
+LIST_SIDE = 1 << 11
+#: Members of a class and side that are kept in one row, about.
+CHUNK = 1 << 10
 # Ways of writing the split names.
 SPLIT_NAMES = {"train": "training", "training": "training", "val": "validation", "dev": "validation", "validation": "validation", "test": "test"}
 
@@ -134,6 +138,17 @@ def _weights(counts: np.ndarray) -> np.ndarray:
     return np.log1p(max(1, both.max()) / np.maximum(both, 1)).astype(np.float32)
 
 
+def list_parts(counts: np.ndarray) -> np.ndarray:
+    """Parts of the train and of the held-out list of each bucket, shape (2, buckets): 1 unless the product of their lengths
+    exceeds that of two sides of ``LIST_SIDE``; then parts of both are about that long, or one side is whole and the other's parts
+    are longer."""
+    t, h = counts.astype(np.float64)
+    long = t * h > LIST_SIDE**2
+    of_held = np.where(long, np.maximum(1, np.round(h / LIST_SIDE)), 1)
+    of_train = np.where(long, np.maximum(1, np.ceil(t * h / (LIST_SIDE**2 * of_held))), 1)
+    return np.array([of_train, of_held]).astype(np.int64)
+
+
 def inverted_lists(classes: DataFrame, counts, buckets: int, rate: float) -> DataFrame:
     """The components that are indexed: ``side, comp, salt, rep, n, w, rest, bound``. ``counts``
     is the broadcast table of :func:`bucket_counts`."""
@@ -141,12 +156,13 @@ def inverted_lists(classes: DataFrame, counts, buckets: int, rate: float) -> Dat
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
         weight = _weights(table)
-        salts = np.minimum(64, 1 + table[0] * table[1] // LIST_PRODUCT)
+        parts = list_parts(table)
         for batch in batches:
             at, comp = _components(list(batch["words"]))
             b = _bucket(comp, buckets)
             w = weight[b].astype(np.float64)
             reps, n = batch["rep"].to_numpy(object), np.bincount(at, minlength=len(batch))
+            hashes = np.array([xxhash.xxh64_intdigest(r) for r in reps], np.uint64)
             k = np.floor(rate * n / (1 - rate) + 1e-9).astype(np.int64)
             for side, name in enumerate(("in_train", "in_held")):
                 there = batch[name].to_numpy(bool)[at] & (table[1 - side][b] > 0)
@@ -162,17 +178,15 @@ def inverted_lists(classes: DataFrame, counts, buckets: int, rate: float) -> Dat
                 head = np.bincount(a, np.where(place < left[a], x, 0), minlength=len(batch))
                 indexed = np.bincount(a, np.where(keep, x, 0), minlength=len(batch))
                 a, c, x, bb = a[keep], c[keep], x[keep], bb[keep]
-                s = salts[bb]
-                if side == 0:
-                    copies, salt = np.ones(len(a), np.int64), _mix(c.view(np.int64), a + 1).astype(np.uint64) % s.astype(np.uint64)
-                else:
-                    copies = s
-                    salt = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
+                own, copies = parts[side][bb], parts[1 - side][bb]
+                part = ((c ^ hashes[a]) >> np.uint64(11)) % own.astype(np.uint64)
                 rows = np.repeat(np.arange(len(a)), copies)
                 a2 = a[rows]
-                yield pd.DataFrame({"side": np.int8(side), "comp": c[rows].view(np.int64), "salt": salt.astype(np.int32), "rep": reps[a2], "n": n[a2].astype(np.int32), "w": x[rows].astype(np.float32), "rest": (whole - indexed)[a2].astype(np.float32), "bound": (whole - head)[a2].astype(np.float32)})
+                other = np.arange(len(rows)) - np.repeat(np.cumsum(copies) - copies, copies)
+                salt = part[rows].astype(np.int64) * copies[rows] + other if side == 0 else other * own[rows] + part[rows].astype(np.int64)
+                yield pd.DataFrame({"side": np.int8(side), "comp": c[rows].view(np.int64), "salt": salt, "rep": reps[a2], "n": n[a2].astype(np.int32), "w": x[rows].astype(np.float32), "rest": (whole - indexed)[a2].astype(np.float32), "bound": (whole - head)[a2].astype(np.float32)})
 
-    return classes.mapInPandas(lists, "side byte, comp long, salt int, rep string, n int, w float, rest float, bound float")
+    return classes.mapInPandas(lists, "side byte, comp long, salt long, rep string, n int, w float, rest float, bound float")
 
 
 def word_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -246,6 +260,7 @@ class Overlap:
         words = texts.mapInPandas(_words(look_alikes(spark)), "document_id string, in_train boolean, in_held boolean, key binary, words array<long>")
         words = written(words.where(F.size("words") > 0), "overlap-words")
         classes = words.groupBy("key").agg(F.min("document_id").alias("rep"), F.bool_or("in_train").alias("class_train"), F.bool_or("in_held").alias("class_held"))
+        classes = maybe_broadcast(written(classes, "overlap-classes"))  # written: adaptive execution can split the rows of a hot text
         self.members = written(words.drop("words").join(classes.select("key", "rep", "class_train", "class_held"), "key"), "overlap-members")
         others = maybe_broadcast(self.members.where("document_id != rep").select("document_id"))
         mixed = maybe_broadcast(self.members.where("document_id = rep AND (class_train != in_train OR class_held != in_held)").select("document_id", "class_train", "class_held"))
@@ -271,14 +286,27 @@ class Overlap:
         self.candidates = pairs
         self.links = written(full.mapInPandas(_verify(counts, buckets, rate), "rep_t string, rep_h string, distance int, cosine double"), "overlap-links")
 
+    def _chunks(self, side: str, rep: str, ids: str) -> DataFrame:
+        """Members of a side by class, in arrays of about ``CHUNK``."""
+        members = self.members.where(side).select("document_id", F.col("rep").alias(rep))
+        large = members.groupBy(rep).agg(F.ceil(F.count("*") / CHUNK).alias("_n")).where("_n > 1")
+        placed = members.join(maybe_broadcast(written(large, "overlap-large")), rep, "left").withColumn("_k", F.pmod(F.xxhash64("document_id"), F.coalesce("_n", F.lit(1))))
+        return written(placed.groupBy(rep, "_k").agg(F.collect_list("document_id").alias(ids)).drop("_k"), "overlap-chunks")
+
     def pairs(self) -> DataFrame:
         """``train_id, held_id, distance, cosine``: every pair of a training record and a held-out
         record, equal texts included (distance 0), whatever manifests they are in."""
-        members = self.members.select("document_id", "rep", "in_train", "in_held")
-        links = self.links.unionByName(members.where("document_id = rep").select(F.col("rep").alias("rep_t"), F.col("rep").alias("rep_h"), F.lit(0).alias("distance"), F.lit(1.0).alias("cosine")))
-        train = members.where("in_train").select(F.col("document_id").alias("train_id"), F.col("rep").alias("rep_t"))
-        held = members.where("in_held").select(F.col("document_id").alias("held_id"), F.col("rep").alias("rep_h"))
-        return links.join(train, "rep_t").join(held, "rep_h").where("train_id != held_id").select("train_id", "held_id", "distance", "cosine")
+        own = self.members.where("document_id = rep AND class_train AND class_held")
+        links = self.links.unionByName(own.select(F.col("rep").alias("rep_t"), F.col("rep").alias("rep_h"), F.lit(0).alias("distance"), F.lit(1.0).alias("cosine")))
+        both = written(links, "overlap-all-links").join(self._chunks("in_train", "rep_t", "ts"), "rep_t").join(self._chunks("in_held", "rep_h", "hs"), "rep_h")
+        each = both.select(F.explode("ts").alias("train_id"), "hs", "distance", "cosine").select("train_id", F.explode("hs").alias("held_id"), "distance", "cosine")
+        return each.where("train_id != held_id")
+
+    def classes(self) -> DataFrame:
+        """``document_id, class_id, in_train, in_held, links``: one row per record with words; its class is that of the records with
+        the same words, named after the smallest; links are its partners on the other side."""
+        of = self.leaking().groupBy("document_id").agg(F.sum("partners").alias("links"))
+        return self.members.select("document_id", F.col("rep").alias("class_id"), "in_train", "in_held").join(of, "document_id", "left").fillna(0, ["links"])
 
     def leaking(self) -> DataFrame:
         """``document_id, side, rep, partners``: one row per record that has a partner on the other
@@ -288,7 +316,7 @@ class Overlap:
         links = self.links.select("rep_t", "rep_h").unionByName(sizes.select(F.col("rep").alias("rep_t"), F.col("rep").alias("rep_h")))
         of_train = links.join(sizes.select(F.col("rep").alias("rep_h"), "n_h"), "rep_h").groupBy(F.col("rep_t").alias("rep")).agg(F.sum("n_h").alias("partners")).withColumn("side", F.lit("train"))
         of_held = links.join(sizes.select(F.col("rep").alias("rep_t"), "n_t"), "rep_t").groupBy(F.col("rep_h").alias("rep")).agg(F.sum("n_t").alias("partners")).withColumn("side", F.lit("held"))
-        found = of_train.unionByName(of_held).where("partners > 0")
+        found = maybe_broadcast(written(of_train.unionByName(of_held).where("partners > 0"), "overlap-found"))
         own = (F.col("in_train") & F.col("in_held")).cast("int")
         return found.join(members, "rep").where(F.when(F.col("side") == "train", F.col("in_train")).otherwise(F.col("in_held"))).select("document_id", "side", "rep", (F.col("partners") - own).alias("partners")).where("partners > 0")
 

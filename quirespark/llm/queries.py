@@ -18,6 +18,10 @@ def _p1_found(spark, d):
     return overlap.found(table(spark, d, "manifest"), table(spark, d, "annotation_token"))
 
 
+def _overlap(spark, d):
+    return overlap.Overlap(table(spark, d, "manifest"), table(spark, d, "annotation_token"))
+
+
 def _p1_overlap_counts(spark, d):
     return overlap.counts_by_source(table(spark, d, "manifest"), table(spark, d, "annotation_token"))
 
@@ -103,6 +107,8 @@ def _p9_composition(spark, d):
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
+        "p1_classes": lambda s, d: _overlap(s, d).classes(),
+        "p1_links": lambda s, d: _overlap(s, d).links.withColumnsRenamed({"rep_t": "train_class", "rep_h": "held_class"}),
         "p3_found": _p3_found, "p3_splits": _p3_splits, "p3_split_report": _p3_split_report,
         "p4_found": _p4_found, "p4_terms": _p4_terms,
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,
