@@ -6,7 +6,8 @@ logistic output. The model is trained on hand labels, at most ``MOST_LABELLED``
 (the documented bound; a hash of doc_id chooses them), cut into ``SHARDS`` shards by that hash. In
 each round every shard runs over its sentences from the same weights, in a task of its own, and the
 sums of its gradient steps are averaged into the next weights: what is broadcast and what returns
-has the model's fixed size.
+has the model's fixed size. Gradients are thus synchronised once a round of local steps, not once a step,
+which would take a job for each of some thousand steps.
 
 Labels belong to documents, say nothing about the single sentence, and some are missing or wrong.
 The first ``PLAIN_ROUNDS`` rounds teach every sentence its document's labels; later rounds teach a
@@ -46,21 +47,18 @@ _MARKS = re.compile("[̀-ͯ]+")
 MOST_SUBJECTS = 1000
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences that hold a word."""
-    return [s for s in _SENTENCE.split(text) if _WORD.search(s)]
-
-
-def words(sentence: str) -> list[str]:
-    low = sentence.lower()
+def sentences(text: str) -> list[list[str]]:
+    """Words of every sentence that holds one, without case and accents."""
+    low = text.lower()
     if not low.isascii():
         low = _MARKS.sub("", unicodedata.normalize("NFKD", low))
-    return [w for w in _WORD.findall(low) if len(w) > 1]
+    found = map(_WORD.findall, _SENTENCE.split(low))
+    return [[w for w in own if len(w) > 1] for own in found if own]
 
 
 def rows_of(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Rows of a word: its own and its n-grams'."""
-    marked = f"<{word[:40]}>"
+    """Rows of a word, of whatever length: its own and its n-grams'."""
+    marked = f"<{word}>"
     parts = [word] + [marked[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(marked) - n + 1)]
     return [xxhash.xxh32_intdigest(p) % buckets for p in parts]
 
@@ -81,12 +79,12 @@ class Model:
     def _vector(self, word: str) -> int:
         at = self._at.get(word)
         if at is None:
-            if len(self._at) >= 500_000:
-                self._at.clear()
             at = self._at[word] = len(self._at)
             if at >= len(self._vectors):
                 self._vectors = np.concatenate((self._vectors, np.zeros_like(self._vectors)))
-            self._vectors[at] = self.embed[rows_of(word, len(self.embed))].mean(0)
+            rows = np.bincount(rows_of(word, len(self.embed)))  # a very long word has many n-grams but no more rows than the table
+            used = np.flatnonzero(rows)
+            self._vectors[at] = rows[used].astype(np.float32) @ self.embed[used] / rows.sum()
         return at
 
     def probabilities(self, many: list[list[str]]) -> np.ndarray:
@@ -97,7 +95,12 @@ class Model:
         for k in range(0, len(many), 4096):
             part = many[k : k + 4096]
             sizes = np.array([len(s) for s in part])
-            at = np.array([self._vector(w) for s in part for w in s], np.int64)
+            if len(self._at) >= 500_000:
+                self._at.clear()
+            words = [w for s in part for w in s]
+            for w in set(words).difference(self._at):
+                self._vector(w)
+            at = np.fromiter(map(self._at.__getitem__, words), np.int64, len(words))
             sums = np.zeros((len(part), self.embed.shape[1]), np.float32)
             if len(at):
                 has = np.flatnonzero(sizes)
@@ -203,9 +206,9 @@ def _round(names: list[str], sent, k: int):
             many, target = [], []
             for texts, own in zip(frame["texts"], frame["subjects"]):
                 row = np.isin(names, list(own)).astype(np.float32)
-                for s in (s for text in texts for s in sentences(text)):
-                    many.append(words(s))
-                    target.append(row)
+                own_words = [s for text in texts for s in sentences(text)]
+                many += own_words
+                target += [row] * len(own_words)
             if many:
                 change = run_shard(Model(names, *sent.value), many, np.array(target), k < PLAIN_ROUNDS, RATE, 1000 * k + int(shard))
                 yield pd.DataFrame({"shard": [int(shard)], "n": [len(many)], "change": [np.concatenate([c.ravel() for c in change]).astype(np.float32).tobytes()]})
@@ -247,7 +250,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*sent.value)
         for batch in batches:
-            of_doc = [[words(s) for s in sentences(t)] if t else [] for t in batch["text"]]
+            of_doc = [sentences(t) if t else [] for t in batch["text"]]
             p = model.probabilities([s for d in of_doc for s in d])
             at, out = 0, []
             for doc, text, own in zip(batch["doc_id"], batch["text"], of_doc):
