@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.functions.geometry import f1_score, ratio
+from quirespark.operators.extraction import ENTITY_TYPES
 from quirespark.operators.slices import with_slices
 
 
@@ -51,3 +52,23 @@ def overlapping(spans: DataFrame) -> DataFrame:
     """``sample_id, side, page_index, token, uses`` of tokens that more than one span of a side uses."""
     rows = spans.select("sample_id", "side", "page_index", F.explode(F.sequence("first_token", "last_token")).alias("token"))
     return rows.groupBy("sample_id", "side", "page_index", "token").agg(F.count("*").alias("uses")).where("uses > 1")
+
+
+_LEVELS = {"token": token_metrics, "entity": span_metrics}
+_COUNTS = ("true_positives", "false_positives", "false_negatives")
+
+
+def evaluation(samples: DataFrame, spans: DataFrame, types: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
+    """``cohort, entity_type, sample_count``, for both levels ``token`` and ``entity`` the counts and ``precision, recall, f1``, and ``field_count, exact_matches, exact_match_rate``: a row for every slice of
+    ``samples`` (``sample_id, cohorts``) and every type (``ALL``: the whole), where nothing was found with zeros and null ratios. Samples without spans count as samples. Cohorts are those of
+    the samples; spans of samples that aren't there are left out. Types outside ``types`` are part of ``ALL`` and have rows of their own only if they occur."""
+    sizes = with_slices(samples).groupBy("cohort").agg(F.countDistinct("sample_id").alias("sample_count"))
+    own = spans.drop("cohorts").join(samples.select("sample_id", "cohorts").dropDuplicates(["sample_id"]), "sample_id")
+    grid = sizes.select("cohort", "sample_count", F.explode(F.array(F.lit("ALL"), *map(F.lit, types))).alias("entity_type"))
+    out = grid
+    for level, metrics in _LEVELS.items():
+        found = metrics(own).select(F.col("cohort").alias("_c"), F.col("entity_type").alias("_t"), *[F.col(c).alias(f"{level}_{c}") for c in (*_COUNTS, "precision", "recall", "f1")])
+        out = out.join(found, F.col("cohort").eqNullSafe(F.col("_c")) & (F.col("entity_type") == F.col("_t")), "left").drop("_c", "_t")
+    fields = field_metrics(own).select(F.col("cohort").alias("_c"), F.col("entity_type").alias("_t"), F.col("fields").alias("field_count"), F.col("exact").alias("exact_matches"), "exact_match_rate")
+    out = out.join(fields, F.col("cohort").eqNullSafe(F.col("_c")) & (F.col("entity_type") == F.col("_t")), "left").drop("_c", "_t")
+    return out.fillna(0, [f"{level}_{c}" for level in _LEVELS for c in _COUNTS] + ["field_count", "exact_matches"])

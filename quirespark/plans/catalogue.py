@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from quirespark.functions import text as tx
 from quirespark.functions.distance import char_edits, word_edits
 from quirespark.functions.geometry import first_max, overlap, softmax
-from quirespark.operators import bio, calibration, classification, detection, entities, extraction, layout, manifest, monitoring, pipeline, recognition, tokens
+from quirespark.operators import bio, calibration, classification, contracts, detection, entities, extraction, layout, manifest, monitoring, pipeline, recognition, tokens
 from quirespark.operators.nested import KINDS, NestedTables, unreadable
 from quirespark.plans import fixtures as fx
-from quirespark.plans import twins
+from quirespark.plans import reports, twins
 from quirespark.session import table
-from quirespark.sources import writers
+from quirespark.sources import schemas, writers
 
 
 def _nested(spark, d, *kinds):
@@ -125,6 +125,11 @@ def _temperature(spark, d):
     return spark.createDataFrame([(round(fit.temperature, 5), round(fit.nll_before, 8), round(fit.nll_after, 8))], "temperature double, nll_before double, nll_after double")
 
 
+def _pieces(spark, d):
+    f = layout.page_features(fx.tokens(spark, d), _labels(spark, d))
+    return f.select("document_id", "page_index", "truncated", F.posexplode("pieces").alias("piece", "p")).select("document_id", "page_index", "truncated", "piece", "p.box.*", "p.label_id")
+
+
 def _features(spark, d):
     f = layout.page_features(fx.tokens(spark, d), _labels(spark, d))
     x = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["box"]["x_min"])
@@ -147,9 +152,38 @@ def _inference(spark, d):
 
 def _telemetry(spark, d):
     pages = fx.ocr_pages(spark, d)
-    rows = pages.select("document_id", F.explode(F.split("text", " ")).alias("text"), F.lit(0.5).alias("confidence"))
-    t = pipeline.telemetry(pipeline.infer(pages), rows)
-    return t.groupBy("stage", "status").agg(F.count("*").alias("records"), F.sum("output_count").alias("outputs"), F.count_if(F.col("document_id").isNotNull()).alias("with_ids"))
+    rows = pages.select("document_id", F.posexplode(F.split("text", " ")).alias("k", "text")).withColumn("confidence", (F.col("k") % 4) / 4.0)
+    t = pipeline.telemetry(pipeline.infer(pages), rows, {"ocr": 0.25, "pipeline": -1.0}, with_ids=True)
+    return _rounded(t.withColumn("output_categories", F.array_join("output_categories", "|")), "mean_confidence")
+
+
+def _failures(spark, d):
+    k = F.col("event_id") % 3
+    stage = F.when(k == 0, "ocr").when(k == 1, "extraction").otherwise("pipeline")
+    failed = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").cast("string").alias("document_id"), stage.alias("stage"), F.when(k == 0, "ValueError").when(k == 1, " ").alias("error_type"), (F.col("value") - 50).alias("duration_seconds"))
+    return pipeline.failures(failed, with_ids=True).select("document_id", "stage", "status", F.round("duration_seconds", 6).alias("duration_seconds"), "error_type", F.size("output_categories").alias("categories"))
+
+
+def _schema_errors(spark, d):
+    return manifest.schema_issues(*_manifest(spark, d)).withColumn("parts", F.concat_ws("/", manifest.path_parts(F.col("location"))))
+
+
+def _report_calibration(spark, d):
+    return _values(reports.flat(reports.calibration_sections(fx.calibration(spark, d), 2.0)))
+
+
+def _values(df):
+    return _rounded(df, "value")
+
+
+def _engine_tokens(spark, d):
+    t = tokens.from_engine(tokens.engine_pages(fx.view(spark, d, fx.ENGINE_RESULTS, "orders")))
+    return t.select("document_id", "page_index", "token_index", "text", "bounding_box.*", "confidence")
+
+
+def _payload_schema(spark, d):
+    rows = table(spark, d, "annotation_raw").where("raw_id IS NOT NULL").select("raw_id", "payload").distinct()
+    return schemas.column_violations(rows, "payload", schemas.annotation_schema(), "invalid_annotation_file", "raw_id")
 
 
 def _windows_p95(spark, d):
@@ -189,7 +223,15 @@ def queries() -> dict:
         "engine_payload_tokens": _engine,
         "bio_validate": lambda s, d: bio.sequence_issues(fx.tokens(s, d), _labels(s, d)),
         "bio_reconstruct": _spans,
-        "vocabulary_check": lambda s, d: bio.vocabulary_issues(_labels(s, d)),
+        "vocabulary_check": lambda s, d: bio.vocabulary_issues(fx.view(s, d, fx.LABEL_FAULTS, "semantic_labels_v1")),
+        "engine_result_tokens": _engine_tokens,
+        "engine_issues": lambda s, d: tokens.engine_issues(tokens.engine_pages(fx.view(s, d, fx.ENGINE_RESULTS, "orders"))),
+        "ocr_contract_issues": lambda s, d: contracts.ocr_token_issues(fx.ocr_rows(s, d)),
+        "page_contract_issues": lambda s, d: contracts.page_gaps(fx.view(s, d, fx.PAGE_GAPS, "annotation_token")),
+        "classification_contract_issues": lambda s, d: contracts.classification_issues(fx.decisions(s, d)),
+        "entity_contract_issues": lambda s, d: contracts.entity_issues(fx.entity_rows(s, d)),
+        "span_contract_issues": lambda s, d: contracts.span_issues(_spans(s, d), extraction.ENTITY_TYPES),
+        "entity_evaluation": lambda s, d: _rounded(entities.evaluation(fx.entity_samples(s, d), _eval_spans(s, d)), "token_precision", "token_recall", "token_f1", "entity_precision", "entity_recall", "entity_f1", "exact_match_rate"),
         "entity_token_prf": lambda s, d: _prf(entities.token_metrics(_eval_spans(s, d))),
         "entity_span_prf": lambda s, d: _prf(entities.span_metrics(_eval_spans(s, d))),
         "entity_field_exact": lambda s, d: _rounded(entities.field_metrics(_eval_spans(s, d)), "exact_match_rate"),
@@ -208,6 +250,11 @@ def queries() -> dict:
         "detection_metrics": _detection,
         "box_normalize": lambda s, d: layout.grid_boxes(fx.tokens(s, d)),
         "subword_align": _features,
+        "subword_pieces": _pieces,
+        "feature_issues": lambda s, d: layout.feature_issues(fx.tokens(s, d), _labels(s, d)),
+        "annotation_schema_issues": lambda s, d: layout.schema_issues(fx.tokens(s, d), _labels(s, d).where("id <= 10")),
+        "annotation_version_issues": lambda s, d: layout.version_issues(table(s, d, "annotation_token"), table(s, d, "annotation_batch")),
+        "annotation_payload_issues": _payload_schema,
         "annotation_issues": lambda s, d: layout.annotation_issues(fx.tokens(s, d), _labels(s, d)),
         "softmax": _softmax,
         "calibration_metrics": _calibration,
@@ -217,15 +264,22 @@ def queries() -> dict:
         "manifest_duplicate_artifacts": lambda s, d: manifest.duplicate_artifacts(table(s, d, "manifest")),
         "manifest_missing_groups": lambda s, d: manifest.missing_groups(*_manifest(s, d)),
         "manifest_split_leaks": lambda s, d: manifest.split_leaks(*_manifest(s, d)),
-        "manifest_issues": lambda s, d: manifest.issues(*_manifest(s, d)).groupBy("manifest_name", "phase", "code").agg(F.count("*").alias("issues")),
+        "manifest_issues": lambda s, d: manifest.issues(*_manifest(s, d)),
+        "manifest_schema_issues": _schema_errors,
         "manifest_artifacts": lambda s, d: manifest.artifact_issues(*fx.artifact_tables(s, d)),
         "monitoring_summary": lambda s, d: _rounded(monitoring.summary(fx.monitoring(s, d)), "mean_duration", "max_duration", "mean_confidence", "error_rate", digits=6),
         "monitoring_categories": lambda s, d: monitoring.categories(fx.monitoring(s, d)),
-        "monitoring_issues": lambda s, d: monitoring.record_issues(fx.monitoring(s, d)).groupBy("issue").agg(F.count("*").alias("records")),
+        "monitoring_issues": lambda s, d: monitoring.record_issues(fx.monitoring_faults(s, d)),
         "monitoring_window": _windows,
         "monitoring_window_p95": _windows_p95,
         "pipeline_inference": _inference,
         "pipeline_records": _telemetry,
+        "pipeline_failures": _failures,
+        "report_ocr": lambda s, d: _values(reports.flat(reports.ocr_sections(fx.recognition(s, d), fx.detection(s, d)))),
+        "report_classification": lambda s, d: _values(reports.flat(reports.classification_sections(fx.classified(s, d)))),
+        "report_entities": lambda s, d: _values(reports.flat(reports.entity_sections(fx.entity_samples(s, d), _eval_spans(s, d)))),
+        "report_calibration": _report_calibration,
+        "report_errors": lambda s, d: _values(reports.flat(reports.error_sections(fx.recognition(s, d), fx.detection(s, d)))),
         "bundle_manifest": lambda s, d: writers.bundle_digest(table(s, d, "documents").select(F.lit("text").alias("role"), F.col("doc_id").cast("string").alias("filename"), F.col("text").cast("binary").alias("content"))),
         "p2_found": lambda s, d: _nested(s, d).labelled_tokens(),
         "p2_documents": lambda s, d: _nested(s, d).documents(),

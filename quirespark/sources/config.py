@@ -123,6 +123,26 @@ def ocr_settings(path: str | Path) -> dict[str, Any]:
     return c
 
 
+# Options of the OCR engine and the settings they come from.
+_ENGINE_OPTIONS = {
+    "text_detection_model_name": "detection_model_name", "text_recognition_model_name": "recognition_model_name", **{k: k for k in _OCR_FLAGS},
+    "text_rec_score_thresh": "text_rec_score_threshold", "lang": "language", "ocr_version": "ocr_version", "device": "device", "engine": "engine",
+}
+
+
+def engine_options(settings: dict[str, Any]) -> dict[str, Any]:
+    """Constructor options of the OCR engine from :func:`ocr_settings`."""
+    return {option: settings[key] for option, key in _ENGINE_OPTIONS.items()}
+
+
+def checked_engine(make: Any, settings: dict[str, Any], installed: dict[str, str]) -> Any:
+    """The engine that ``make`` builds of the options, unless the ``installed`` versions (by package) aren't the pinned ones: results would be another model's."""
+    for package in ("paddleocr", "paddlepaddle"):
+        if installed.get(package) != settings[f"{package}_version"]:
+            raise RuntimeError(f"{package} {settings[f'{package}_version']} is configured, {installed.get(package)} is installed")
+    return make(**engine_options(settings))
+
+
 def label_vocabulary(spark: SparkSession, path: str | Path) -> DataFrame:
     """``id, name, prefix, entity_type`` of a vocabulary file that meets its contract."""
     with open(path, encoding="utf-8") as f:

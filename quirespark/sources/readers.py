@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from typing import Any
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirespark.sources import schemas
+
 BOX = "struct<x_min:double,y_min:double,x_max:double,y_max:double>"
 OCR_DOCUMENT = f"schema_version string, document_id string, model struct<name:string,version:string,source:string>, pages array<struct<page_index:int,tokens:array<struct<text:string,bounding_box:{BOX},confidence:double,token_index:int>>>>"
 ANNOTATION = f"schema_version string, label_schema_version string, source_ocr_schema_version string, document_id string, pages array<struct<page_index:int,image_width:int,image_height:int,tokens:array<struct<token_index:int,text:string,bounding_box:{BOX},label:string>>>>"
@@ -43,6 +49,20 @@ def unknown_fields(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select("path", F.explode(F.json_object_keys("value")).alias("field")).where(~F.col("field").isin(known))
 
 
+def _files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """``path, content`` of every file. Spark's readers leave out empty files; the listing, which the driver has anyway, names them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    full = files.select("path", "content")
+    listed = [(_plain(unquote(f)),) for f in files.inputFiles()]
+    names = spark.createDataFrame(listed, "path string")
+    empty = names.join(files.select("path").withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")), "path", "left_anti")
+    return full.unionByName(empty.select("path", F.lit(b"").alias("content")))
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
 def document_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, modificationTime, length, content`` of image and PDF files, whatever the case of their ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -51,6 +71,32 @@ def document_files(spark: SparkSession, path: str) -> DataFrame:
 
 def artifact_contents(spark: SparkSession, root: str) -> DataFrame:
     """``path, content`` of every file below ``root``, paths relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = root.removeprefix("file://").rstrip("/") + "/"
-    return files.select(F.substring_index("path", prefix, -1).alias("path"), "content")
+    return _files(spark, root, True).select(F.substring_index("path", prefix, -1).alias("path"), "content")
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return _files(spark, path, False).withColumnRenamed("content", "value")
+
+
+def manifest_file_issues(spark: SparkSession, path: str, schema: dict[str, Any] | None = None) -> DataFrame:
+    """``path, code, location, keyword``: files that aren't a JSON object (``invalid_manifest_file``), and violations of the manifest's schema at any depth
+    in those that are, unknown fields included."""
+    return schemas.column_violations(_texts(spark, path), "value", schema or schemas.manifest_schema(), "invalid_manifest_file", "path")
+
+
+def annotation_file_issues(spark: SparkSession, path: str, schema: dict[str, Any] | None = None) -> DataFrame:
+    """The same of annotation files (``invalid_annotation_file``)."""
+    return schemas.column_violations(_texts(spark, path), "value", schema or schemas.annotation_schema(), "invalid_annotation_file", "path")
+
+
+def validate_manifests(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """``path, phase, code, location, id`` of all that is wrong with manifest files: their schema, and for files that meet it uniqueness, splits and, with
+    the folder ``root``, the artifacts below it."""
+    from quirespark.operators import manifest
+
+    broken = manifest_file_issues(spark, path)
+    good = json_documents(spark, path, MANIFEST).join(broken.select("path").distinct(), "path", "left_anti").withColumn("name", F.col("path"))
+    found = manifest.issues(manifest_records(good), good, artifact_contents(spark, root) if root else None)
+    first = broken.select("path", F.lit(0).alias("phase"), "code", "location", F.lit(None).cast("string").alias("id"))
+    return first.unionByName(found.select(F.col("manifest_name").alias("path"), "phase", "code", "location", "id"))

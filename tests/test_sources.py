@@ -81,12 +81,12 @@ def test_json_keeps_nulls_and_times_have_no_needless_fraction(spark, tmp_path):
 
 
 def test_bundles(tmp_path):
-    m = {"model_name": "m-1", "model_version": "1.0.0"}
+    m = {"model_name": "m-1", "model_version": "1.0.0", "config_version": "1.0.0", "output_schema_version": "1.0.0", "source_commit": "a" * 40, "model_family": "f", "output_schema_name": "s", "evaluation_report_uri": "r.json", "task": "ocr"}
     w = file(tmp_path, "weights", "w.bin")
-    got = writers.export_bundle(tmp_path / "b", m, {"weights": w})
+    got = writers.export_bundle(tmp_path / "b", m, {"model": w})
     assert got["artifacts"][0]["sha256"] == hashlib.sha256(b"weights").hexdigest()
     with pytest.raises(FileExistsError):
-        writers.export_bundle(tmp_path / "b", m, {"weights": w})
+        writers.export_bundle(tmp_path / "b", m, {"model": w})
     (tmp_path / "b" / "w.bin").write_text("weighty", encoding="utf-8")
     with pytest.raises(ValueError, match="checksum"):
         writers.validate_bundle(tmp_path / "b")
@@ -96,7 +96,14 @@ def test_bundles(tmp_path):
     with pytest.raises(ValueError, match="outside"):
         writers.validate_bundle(tmp_path / "b")
     with pytest.raises(ValueError):
-        writers.export_bundle(tmp_path / "c", {"model_name": "M", "model_version": "1.0.0"}, {"weights": w})
+        writers.export_bundle(tmp_path / "c", m | {"model_name": "M"}, {"model": w})
+    for bad in ({"task": "x"}, {"dataset_name": "d"}, {"dataset_name": "d", "dataset_version": "1"}, {"training_run_id": " "}, {"model_family": ""}, {"source_commit": "x"}, {"more": 1}):
+        with pytest.raises(ValueError):
+            writers.check_metadata(m | bad)
+    writers.check_metadata(m | {"dataset_name": "d", "dataset_version": "1.0.0", "training_run_id": "r"})
+    for source in ({"weights": w}, {"model": (w, "binary")}):
+        with pytest.raises(ValueError):
+            writers.export_bundle(tmp_path / "c", m, source)
     assert not (tmp_path / "c").exists()
 
 
