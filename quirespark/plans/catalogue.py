@@ -10,7 +10,7 @@ from quirespark.functions.geometry import first_max, overlap, softmax
 from quirespark.operators import bio, calibration, classification, contracts, detection, entities, extraction, layout, manifest, monitoring, pipeline, recognition, tokens
 from quirespark.operators.nested import KINDS, NestedTables, unreadable
 from quirespark.plans import fixtures as fx
-from quirespark.plans import reports, twins
+from quirespark.plans import nested_twins, reports, twins
 from quirespark.session import table
 from quirespark.sources import schemas, writers
 
@@ -285,6 +285,10 @@ def queries() -> dict:
         "p2_documents": lambda s, d: _nested(s, d).documents(),
         "p2_pages": lambda s, d: _nested(s, d).pages(),
         "p2_tokens": lambda s, d: _nested(s, d, "token", "box").tokens(),
+        # the flat tables without hashes and other fields, for comparison with SQL
+        "p2_document_rows": lambda s, d: _nested(s, d).documents().drop("document", "extra"),
+        "p2_page_rows": lambda s, d: _nested(s, d).pages().drop("page", "extra"),
+        "p2_token_rows": lambda s, d: _nested(s, d, "token", "box").tokens().drop("token", "extra"),
         "p2_objects": _stored_objects,
         "p2_bridges": _bridges,
         "p2_sharing": lambda s, d: _nested(s, d, "token", "box").sharing(),
@@ -293,4 +297,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return twins.SQL
+    return twins.SQL | nested_twins.SQL
