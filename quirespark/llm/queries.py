@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, splits, subjects
+from quirespark.llm import chunking, frequency, leakage, mixing, normalise, overlap, splits, subjects, twins
 from quirespark.session import table
 
 #: Setting that names the rank file of the tokenizer, and its default.
@@ -39,6 +40,17 @@ def _p3_split_report(spark, d):
     return splits.split_report(splits.new_splits(table(spark, d, "manifest"), heads), heads)
 
 
+def _p3_split_check(spark, d):
+    """By manifest: records, sets, sets that lie in more than one new split, and whether every share is within two points of its target or of the largest set's share."""
+    heads = table(spark, d, "manifest_head")
+    placed = splits.new_splits(table(spark, d, "manifest"), heads)
+    sets = placed.groupBy("manifest_name", "set_id").agg(F.count("*").alias("n"), F.countDistinct("new_split").alias("k")).groupBy("manifest_name").agg(
+        F.sum("n").alias("records"), F.count("*").alias("sets"), F.count_if(F.col("k") > 1).alias("torn_sets"), F.max("n").alias("largest"))
+    off = splits.split_report(placed, heads).groupBy("manifest_name").agg(F.max(F.abs(F.col("share") - F.col("target_share"))).alias("off"))
+    near = F.col("off") <= F.greatest(F.lit(0.02), F.col("largest") / F.col("records"))
+    return sets.join(off, "manifest_name").select("manifest_name", "records", "sets", "torn_sets", near.alias("near_targets"))
+
+
 def _p4_terms(spark, d):
     return frequency.label_terms(table(spark, d, "annotation_token"), table(spark, d, "semantic_labels_v1"))
 
@@ -64,6 +76,16 @@ def _p6_pieces(spark, d):
     return chunking.chunked_pages(table(spark, d, "annotation_token"))
 
 
+def _p6_rejoined(spark, d):
+    """By long page: the words of its pieces without those that are repeated, put together again, and whether the pieces keep their limit and overlap."""
+    own = F.slice(F.split("text", " "), F.col("repeated") + 1, F.size(F.split("text", " ")))
+    pieces = _p6_pieces(spark, d).select("document_id", "page_index", "piece_index", "n_words", "repeated", own.alias("w"))
+    one = pieces.groupBy("document_id", "page_index").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece_index", "w"))), lambda x: x["w"])).alias("w"), F.max("n_words").alias("longest"),
+        F.min(F.when(F.col("piece_index") > 0, F.col("repeated"))).alias("least_repeated"), F.max(F.when(F.col("piece_index") > 0, F.col("repeated"))).alias("most_repeated"))
+    return one.select("document_id", "page_index", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ").cast("binary")).alias("words_md5"), (F.col("longest") <= chunking.LIMIT).alias("within_limit"), "least_repeated", "most_repeated")
+
+
 def _p7_found(spark, d):
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -88,6 +110,16 @@ def _p8_shares(spark, d):
     return _mixture(spark, d).report()
 
 
+def _p8_share_check(spark, d):
+    """By listed source: documents with text, whether no row is used too often, and whether the share reached is within two points of its target among the sources that occur."""
+    shares = _p8_shares(spark, d)
+    texts = table(spark, d, "documents").where("length(text) > 0").groupBy("source").agg(F.count("*").alias("documents"))
+    there = shares.where("tokens > 0").agg(F.sum("target_share").alias("sum"))
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.col("sum")).otherwise(0.0)
+    both = shares.join(texts, "source", "left").join(F.broadcast(there))  # one row
+    return both.select("source", "target_share", "max_repeat", F.coalesce("documents", F.lit(0)).alias("documents"), (F.col("most_copies") <= F.col("max_repeat")).alias("within_repeat"), (F.abs(F.col("actual_share") - wanted) <= 0.02).alias("near_target"))
+
+
 def _p8_temperature(spark, d):
     return mixing.temperature_report(table(spark, d, "documents"), table(spark, d, "mix_target"), spark.conf.get(*RANKS))
 
@@ -109,57 +141,15 @@ def queries() -> dict[str, Query]:
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
         "p1_classes": lambda s, d: _overlap(s, d).classes(),
         "p1_links": lambda s, d: _overlap(s, d).links.withColumnsRenamed({"rep_t": "train_class", "rep_h": "held_class"}),
-        "p3_found": _p3_found, "p3_splits": _p3_splits, "p3_split_report": _p3_split_report,
+        "p3_found": _p3_found, "p3_splits": _p3_splits, "p3_split_report": _p3_split_report, "p3_split_check": _p3_split_check,
         "p4_found": _p4_found, "p4_terms": _p4_terms,
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,
-        "p6_found": _p6_found, "p6_pieces": _p6_pieces,
+        "p6_found": _p6_found, "p6_pieces": _p6_pieces, "p6_rejoined": _p6_rejoined,
         "p7_found": _p7_found, "p7_leak_spans": _p7_leak_spans, "p7_cleaned": _p7_cleaned,
-        "p8_mixture": _p8_mixture, "p8_shares": _p8_shares, "p8_temperature": _p8_temperature,
+        "p8_mixture": _p8_mixture, "p8_shares": _p8_shares, "p8_share_check": _p8_share_check, "p8_temperature": _p8_temperature,
         "p9_found": _p9_found, "p9_composition": _p9_composition,
     }
 
 
-P3_FOUND = r"""
-WITH RECURSIVE rec AS (SELECT DISTINCT manifest_name AS m, id FROM manifest WHERE id IS NOT NULL AND manifest_name IS NOT NULL),
-ent AS (SELECT DISTINCT manifest_name AS m, id, unnest(map_keys(groups)) AS k, lower(trim(unnest(map_values(groups)))) AS v FROM manifest),
-tie AS (SELECT e.* FROM ent e JOIN manifest_head h ON h.name = e.m AND list_contains(h.split_strategy.grouping_keys, e.k)
-  WHERE v NOT IN ('', '-', '--', '?', 'n/a', 'na', 'n.a.', 'nan', 'nil', 'none', 'null', 'unknown', 'unk', 'undefined', 'not available', 'missing', 'tbd')),
-star AS (SELECT m, id, min(id) OVER (PARTITION BY m, k, v) AS lo FROM tie),
-edge AS (SELECT DISTINCT m, id AS a, lo AS b FROM star UNION SELECT DISTINCT m, lo, id FROM star),
-reach(m, a, b) AS (SELECT m, id, id FROM rec UNION SELECT r.m, r.a, e.b FROM reach r JOIN edge e ON e.m = r.m AND e.a = r.b),
-sets AS (SELECT m, a AS id, min(b) AS set_id FROM reach GROUP BY m, a),
-split AS (SELECT DISTINCT manifest_name AS m, id, CASE WHEN s IN ('train', 'training') THEN 'training' WHEN s IN ('val', 'dev', 'validation') THEN 'validation' WHEN s = 'test' THEN 'test' END AS split FROM (SELECT *, lower(trim(split)) AS s FROM manifest)),
-torn AS (SELECT m, set_id FROM sets JOIN split USING (m, id) GROUP BY m, set_id HAVING count(DISTINCT split) > 1)
-SELECT DISTINCT id, set_id FROM sets JOIN torn USING (m, set_id)"""
-
-P4_TERMS = """
-WITH once AS (SELECT DISTINCT document_id, page_index, token_index, label FROM annotation_token WHERE document_id IS NOT NULL),
-n AS (SELECT count(DISTINCT document_id) AS total FROM once),
-terms AS (
-  SELECT 'label' AS field, label AS term, document_id FROM once WHERE label IS NOT NULL
-  UNION ALL
-  SELECT 'entity_type', s.entity_type, o.document_id FROM once o JOIN semantic_labels_v1 s ON s.name = o.label WHERE s.entity_type IS NOT NULL),
-counted AS (SELECT field, term, count(*) AS tokens, count(DISTINCT document_id) AS documents FROM terms GROUP BY field, term)
-SELECT field, term, tokens, documents, CASE WHEN documents < 3 THEN 'rare' WHEN documents > 0.5 * total THEN 'common' END AS mark FROM counted, n"""
-
-# Blank tokens are no case; the classes are those of ``normalise``.
-P5_FOUND = r"""
-SELECT DISTINCT document_id, page_index, token_index FROM annotation_token
-WHERE regexp_matches(text, '[^\x20-\x7e]') AND NOT regexp_full_match(text, '[ \x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2800}]*')
-AND (regexp_matches(text, '[\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{2800}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff0}-\x{fff8}\x{300}-\x{36f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{20d0}-\x{20ff}\x{fe20}-\x{fe2f}\x{ff01}-\x{ff5e}\x{ffe0}-\x{ffe6}]')
-  OR (regexp_matches(text, '\p{Latin}') AND regexp_matches(text, '[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Coptic}\p{Georgian}\p{Hebrew}\p{Arabic}]')))"""
-
-P6_FOUND = r"""
-WITH once AS (SELECT DISTINCT document_id, page_index, token_index, text FROM annotation_token WHERE document_id IS NOT NULL)
-SELECT document_id, page_index FROM once GROUP BY document_id, page_index
-HAVING sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda w: w <> ''))) > 512"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": P3_FOUND,
-        "p4_terms": P4_TERMS,
-        "p4_found": f"SELECT field, term, mark FROM ({P4_TERMS}) WHERE mark IS NOT NULL",
-        "p5_found": P5_FOUND,
-        "p6_found": P6_FOUND,
-    }
+    return twins.SQL
