@@ -7,11 +7,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirespark.functions.text import FORMATS
+from quirespark.operators.keys import with_last_before, with_least
 from quirespark.session import maybe_broadcast, written
 from quirespark.sources import schemas
 
@@ -24,8 +25,8 @@ _JSON_START = r"^(?:efbbbf)?(?:20|09|0a|0d)*(?:7b|5b|22|2d|3[0-9]|74|66|6e|4e|49
 
 def duplicate_ids(records: DataFrame) -> DataFrame:
     """``manifest_name, pos, id, code``: every record after the first with its id."""
-    w = Window.partitionBy("manifest_name", "id").orderBy("pos")
-    return records.where("id IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n > 1").select("manifest_name", "pos", "id", F.lit("duplicate_record_id").alias("code"))
+    rows = records.where("id IS NOT NULL AND manifest_name IS NOT NULL").select("manifest_name", "pos", "id")
+    return with_least(rows, ["manifest_name", "id"], "pos", "_first", records.count()).where("pos > _first").select("manifest_name", "pos", "id", F.lit("duplicate_record_id").alias("code"))
 
 
 def artifacts(records: DataFrame) -> DataFrame:
@@ -36,9 +37,9 @@ def artifacts(records: DataFrame) -> DataFrame:
 
 def duplicate_artifacts(records: DataFrame) -> DataFrame:
     """``manifest_name, pos, id, role, uri, first_id``: artifacts whose role and URI an earlier record uses."""
-    w = Window.partitionBy("manifest_name", "role", "uri").orderBy("pos")
-    seen = artifacts(records).withColumns({"_n": F.row_number().over(w), "first_id": F.first("id").over(w)})
-    return seen.where("_n > 1").select("manifest_name", "pos", "id", "role", "uri", "first_id")
+    rows = artifacts(records).where("manifest_name IS NOT NULL").select("manifest_name", "pos", "id", "role", "uri", F.struct("pos", "id").alias("_p"))
+    seen = with_least(rows, ["manifest_name", "role", "uri"], "_p", "_first", 2 * records.count())
+    return seen.where("pos > _first.pos").select("manifest_name", "pos", "id", "role", "uri", F.col("_first.id").alias("first_id"))
 
 
 def _keyed(records: DataFrame, heads: DataFrame) -> DataFrame:
@@ -53,11 +54,12 @@ def missing_groups(records: DataFrame, heads: DataFrame) -> DataFrame:
 
 def split_leaks(records: DataFrame, heads: DataFrame) -> DataFrame:
     """``manifest_name, pos, id, key, value, split, first_split, first_id``: records whose split isn't the first one seen for their group value. ``first_id`` is the last
-    earlier record of the group that had the first split. Values count as written; a null split is a split of its own."""
-    w = Window.partitionBy("manifest_name", "key", "value").orderBy("pos")
-    rows = _keyed(records, heads).where("value IS NOT NULL").withColumn("first_split", F.first("split").over(w))
+    earlier record of the group that had the first split. Values count as written; a null split is a split of its own. A group may hold most of the records."""
+    key = ["manifest_name", "key", "value"]
+    rows = _keyed(records, heads).where("value IS NOT NULL").withColumn("_p", F.struct("pos", "split"))
+    rows = with_least(rows, key, "_p", "_first", 4 * records.count()).withColumn("first_split", F.col("_first.split")).drop("_p", "_first")
     kept = F.when(F.col("split").eqNullSafe(F.col("first_split")), F.col("id"))
-    seen = rows.withColumn("first_id", F.last(kept, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = with_last_before(rows, key, "pos", kept, "first_id")
     return seen.where(~F.col("split").eqNullSafe(F.col("first_split"))).select("manifest_name", "pos", "id", "key", "value", "split", "first_split", "first_id")
 
 

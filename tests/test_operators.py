@@ -272,3 +272,22 @@ def test_monitoring_window_p95(spark, monkeypatch):
     df = spark.createDataFrame([(k / 100, "OCR", "SUCCESS") for k in range(1, 101)], "duration_seconds double, stage string, status string").withColumn("ts", F.timestamp_seconds(F.lit(0)))
     monkeypatch.setattr(catalogue.fx, "monitoring", lambda s, d: df)
     assert [(r["records"], r["errors"], r["p95_duration"]) for r in catalogue.queries()["monitoring_window_p95"](spark, "").collect()] == [(100, 0, 0.95)]
+
+
+def test_hot_keys(spark):
+    from quirespark.operators import keys
+
+    rng = random.Random(1)
+    data = [(rng.choice(["hot", "hot", "a", "b"]), k, rng.choice([None, f"v{k}"])) for k in range(300)] + [(None, 999, "x")]
+    df = spark.createDataFrame(data, "k string, pos long, v string")
+    want = sorted((k, p, min(q for j, q, _ in data if j == k)) for k, p, _ in data if k)
+    for hub in (10**6, 5):  # light keys, hubs
+        assert rows(keys.with_least(df, ["k"], "pos", "m", 300, hub).select("k", "pos", "m"), "k", "pos") == want
+    last = {}
+    seen = []
+    for k, p, v in data:
+        if k:
+            seen.append((k, p, last.get(k)))
+            last[k] = v or last.get(k)
+    for block in (4, 10**6):
+        assert rows(keys.with_last_before(df, ["k"], "pos", F.col("v"), "m", block).select("k", "pos", "m"), "k", "pos") == sorted(seen)

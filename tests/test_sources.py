@@ -123,3 +123,14 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_records_reach_a_sink_of_ones_own(spark, tmp_path):
+    schema = "record_id long, status string, duration_seconds double, model_name string, model_version string, model_source string, output_count long, mean_confidence double, output_categories array<string>, error_type string"
+    rows = [(k, "SUCCESS", -1.0 if k == 3 else 1.0, None, None, None, None, None, [], None) for k in range(5)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    got = []
+    q = telemetry.start_hook(telemetry.stream(spark, str(tmp_path / "in"), schema), lambda batch, number: got.extend((number, r["record_id"]) for r in batch.collect()), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(got) == [(0, 0), (0, 1), (0, 2), (0, 4)]
