@@ -114,9 +114,9 @@ def _p8_share_check(spark, d):
     """By listed source: documents with text, whether no row is used too often, and whether the share reached is within two points of its target among the sources that occur."""
     shares = _p8_shares(spark, d)
     texts = table(spark, d, "documents").where("length(text) > 0").groupBy("source").agg(F.count("*").alias("documents"))
-    there = shares.where("tokens > 0").agg(F.sum("target_share").alias("sum"))
-    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.col("sum")).otherwise(0.0)
-    both = shares.join(texts, "source", "left").join(F.broadcast(there))  # one row
+    there = shares.where("tokens > 0").agg(F.sum("target_share")).first()[0]
+    wanted = F.when(F.col("tokens") > 0, F.col("target_share") / F.lit(there)).otherwise(0.0)
+    both = shares.join(texts, "source", "left")
     return both.select("source", "target_share", "max_repeat", F.coalesce("documents", F.lit(0)).alias("documents"), (F.col("most_copies") <= F.col("max_repeat")).alias("within_repeat"), (F.abs(F.col("actual_share") - wanted) <= 0.02).alias("near_target"))
 
 

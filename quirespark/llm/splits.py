@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.overlap import split_name
+from quirespark.operators.keys import HUB_ROWS, with_least
 from quirespark.session import release, written
 
-#: Rows from which on a key is a hub; most hubs that are broadcast (in a larger table a hub needs more rows).
-HUB_ROWS, MOST_HUBS = 100_000, 10_000
 #: Equal bins of a manifest, sets in a block, blocks combined at once.
 BINS, BLOCK_SETS, FAN_IN = 256, 4000, 64
 # Stand-ins for an unknown value, lower case.
@@ -37,17 +36,6 @@ def group_value(value: Column) -> Column:
     return F.when(~v.isin(STAND_INS), v)
 
 
-def with_least(rows: DataFrame, key: list[str], value: str, name: str, n: int, hub_rows: int = HUB_ROWS) -> DataFrame:
-    """``rows`` with the smallest ``value`` of their key as ``name``; ``n`` is (about) the number of rows. The smallest values
-    come from partial aggregates; rows of hubs get theirs by broadcast, so that no task holds all rows of a key."""
-    hub = max(hub_rows, n // MOST_HUBS)
-    sums = rows.groupBy(*key).agg(F.min(value).alias(name), F.count("*").alias("_n"))
-    hubs = sums.where(F.col("_n") > hub).drop("_n")  # at most MOST_HUBS rows
-    light = sums.where(F.col("_n") <= hub).drop("_n")
-    of_hubs = rows.join(F.broadcast(hubs), key)
-    return of_hubs.unionByName(rows.join(F.broadcast(hubs.select(*key)), key, "left_anti").join(light, key))
-
-
 def stars(edges: DataFrame, most: int = 60, hub_rows: int = HUB_ROWS) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``u, v``): root is the smallest node of its
     component. Self loops and repeated edges do no harm; null ends are left out."""
