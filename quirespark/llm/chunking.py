@@ -86,16 +86,21 @@ def word_count(text):
     return F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, BLANKS), lambda w: w != "")))
 
 
-def long_pages(tokens: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``document_id, page_index, n_words`` of the pages of more than ``limit`` words. Repeated rows
-    count once, a token sent with different texts with its most words; rows without a document are left out, a missing
+def likely_rows(tokens: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``document_id, page_index, token_index, text, y`` of the pages of more than ``limit`` words, repeated rows counted each time: no page has fewer
+    words with its repeated rows, so only few pages' rows are told apart later. Rows without a document are left out."""
+    rows = tokens.where(F.col("document_id").isNotNull())
+    sums = rows.groupBy("document_id", "page_index").agg(F.sum(word_count(F.col("text"))).alias("n")).where(F.col("n") > limit)
+    likely = maybe_broadcast(written(sums.select(F.col("document_id").alias("d"), F.col("page_index").alias("p")), "likely-pages"))
+    rows = rows.select("document_id", "page_index", "token_index", "text", F.col("bounding_box.y_min").alias("y"))
+    return written(rows.join(likely, rows["document_id"].eqNullSafe(F.col("d")) & rows["page_index"].eqNullSafe(F.col("p")), "left_semi"), "likely-rows")
+
+
+def long_pages(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``document_id, page_index, n_words`` of the pages of more than ``limit`` words among token rows. Repeated rows
+    count once, a token sent with different texts with its most words; a missing
     page index is a page of its own. Tokens without an index are told apart by their text."""
-    rows = tokens.where(F.col("document_id").isNotNull()).select("document_id", "page_index", "token_index", "text")
-    # with its repeated rows no page has fewer words, so only few pages need their rows told apart
-    sums = rows.groupBy("document_id", "page_index").agg(F.sum(word_count(F.col("text"))).alias("n")).where(F.col("n") > limit).drop("n")
-    likely = maybe_broadcast(written(sums.withColumnsRenamed({"document_id": "d", "page_index": "p"}), "long-pages"))
-    of_them = rows.join(likely, rows["document_id"].eqNullSafe(F.col("d")) & rows["page_index"].eqNullSafe(F.col("p")), "left_semi")
-    once = of_them.groupBy("document_id", "page_index", "token_index", F.when(F.col("token_index").isNull(), F.col("text"))).agg(F.max(word_count(F.col("text"))).alias("n"))
+    once = rows.groupBy("document_id", "page_index", "token_index", F.when(F.col("token_index").isNull(), F.col("text"))).agg(F.max(word_count(F.col("text"))).alias("n"))
     return once.groupBy("document_id", "page_index").agg(F.sum("n").alias("n_words")).where(F.col("n_words") > limit)
 
 
@@ -106,8 +111,8 @@ def chunked_pages(tokens: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     without an index come first, in order of their texts."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below the limit")
-    pages = maybe_broadcast(written(long_pages(tokens, limit).select(F.col("document_id").alias("d"), F.col("page_index").alias("p")), "pages"))
-    rows = tokens.select("document_id", "page_index", "token_index", "text", F.col("bounding_box.y_min").alias("y"))
+    rows = likely_rows(tokens, limit)
+    pages = maybe_broadcast(written(long_pages(rows, limit).select(F.col("document_id").alias("d"), F.col("page_index").alias("p")), "pages"))
     rows = rows.join(pages, rows["document_id"].eqNullSafe(F.col("d")) & rows["page_index"].eqNullSafe(F.col("p")), "left_semi")
     one = rows.groupBy("document_id", "page_index").agg(F.sort_array(F.collect_set(F.struct("token_index", "text", "y"))).alias("t"))
 
