@@ -41,12 +41,14 @@ def cuts(penalty: np.ndarray, limit: int, overlap: int) -> list[int]:
     back = np.zeros(n + 1, np.int64)
     cost[0] = 0.0
     penalty = np.append(penalty[:-1], 0.0)
+    # of pieces that begin behind the first ``overlap`` words, from the longest to the shortest; earlier ones hold all words so far
+    uneven = BALANCE * ((np.arange(step, 0, -1) + overlap - target) / limit) ** 2
     for end in range(1, n + 1):
         low = max(0, end - step)
-        starts = np.arange(low, end)
-        # a later piece must be longer than its overlap's source reaches
-        size = end - starts + np.where(starts > 0, np.minimum(overlap, starts), 0)
-        total = cost[low:end] + BALANCE * ((size - target) / limit) ** 2
+        total = cost[low:end] + uneven[step - (end - low) :]
+        if low < overlap:
+            m = min(overlap, end) - low
+            total[:m] = cost[low : low + m] + BALANCE * ((end - target) / limit) ** 2
         best = int(total.argmin())
         value, start = total[best], low + best
         if end <= limit and (first := BALANCE * ((end - target) / limit) ** 2) <= value:
