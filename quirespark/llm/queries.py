@@ -140,7 +140,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found, "p1_overlap_counts": _p1_overlap_counts,
         "p1_classes": lambda s, d: _overlap(s, d).classes(),
-        "p1_links": lambda s, d: _overlap(s, d).links.withColumnsRenamed({"rep_t": "train_class", "rep_h": "held_class"}),
+        "p1_links": lambda s, d: _overlap(s, d).links.select(F.col("rep_t").alias("train_class"), F.col("rep_h").alias("held_class"), "distance"),
         "p3_found": _p3_found, "p3_splits": _p3_splits, "p3_split_report": _p3_split_report, "p3_split_check": _p3_split_check,
         "p4_found": _p4_found, "p4_terms": _p4_terms,
         "p5_found": _p5_found, "p5_normalised": _p5_normalised,

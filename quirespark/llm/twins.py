@@ -97,6 +97,10 @@ SQL = {
     "p1_found": f"{_OVERLAP} SELECT DISTINCT least(ta, hb) AS id_a, greatest(ta, hb) AS id_b FROM pair",
     "p1_overlap_counts": f"""{_OVERLAP}, partner AS (SELECT ta AS id, 't' AS s, count(*) AS n FROM pair GROUP BY ta UNION ALL SELECT hb, 'h', count(*) FROM pair GROUP BY hb)
 SELECT split, source, count(DISTINCT r.id) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS partners FROM (SELECT DISTINCT id, split, source FROM named) r LEFT JOIN partner p ON p.id = r.id AND p.s = CASE WHEN split = 'training' THEN 't' ELSE 'h' END GROUP BY split, source""",
+    "p1_classes": f"""{_OVERLAP}, partner AS (SELECT ta AS id FROM pair UNION ALL SELECT hb FROM pair), links AS (SELECT id, count(*) AS n FROM partner GROUP BY id)
+SELECT u.id AS document_id, min(u.id) OVER (PARTITION BY w) AS class_id, tr AS in_train, he AS in_held, coalesce(n, 0) AS links FROM used u LEFT JOIN links l ON l.id = u.id""",
+    "p1_links": f"""{_OVERLAP}, class AS (SELECT id, min(id) OVER (PARTITION BY w) AS c FROM used), near AS (SELECT ta, hb, r[-1] AS d FROM dp WHERE i = len(a) AND r[-1] <= floor(greatest(len(a), len(b)) / 5.0))
+SELECT DISTINCT t.c AS train_class, h.c AS held_class, d::INT AS distance FROM near JOIN class t ON t.id = ta JOIN class h ON h.id = hb WHERE t.c <> h.c""",
     "p3_found": P3_FOUND,
     "p3_split_check": P3_CHECK,
     "p4_terms": P4_TERMS,
