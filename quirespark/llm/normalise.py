@@ -149,7 +149,8 @@ def forms_of(values: list[str], look: dict[str, str]) -> tuple[list[str], np.nda
     seen = whole.split(_BETWEEN)
     if _LETTERS.search(whole):
         mixed = [not t.isascii() and mixes_alphabets(t) for t in seen]
-        found[:, CHANGES.index("alphabet")] = mixed
+        # signs such as the micro sign are no letters of another alphabet, though their form is one
+        found[:, CHANGES.index("alphabet")] = [not v.isascii() and mixes_alphabets(v) for v in values]
         seen = [t if t.isascii() else unicodedata.normalize("NFC", "".join(look.get(c, c) if m or script(c) == "LATIN" else c for c in t)) for t, m in zip(seen, mixed)]
     seen = [_SPACES.sub(" ", t).strip(" ") for t in seen]
     # of blank values only those with something invisible aren't plain

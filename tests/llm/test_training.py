@@ -248,7 +248,7 @@ def test_a_large_vocabulary_is_joined(spark):
 
 CASES = [
     ("ｈｉｎｇｅ", "hinge", True), ("é", "é", True), ("é", "é", False), ("a​b", "ab", True), ("a b", "a b", True), ("Rаrizo", "Rarizo", True), ("товар", "товар", False),
-    ("m²", "m²", False), ("商店AB", "商店AB", False), ("", "", False), ("  ", "", False), ("　", "", False), ("a\tb", "a b", True), ("ﬁn", "fin", False), ("½", "½", False), ("７５７.６８", "757.68", True),
+    ("m²", "m²", False), ("商店AB", "商店AB", False), ("", "", False), ("  ", "", False), ("　", "", False), ("a\tb", "a b", True), ("ﬁn", "fin", False), ("½", "½", False), ("７５７.６８", "757.68", True), ("5\u00b5m", "5\u03bcm", False), ("a\u03bc", "a\u03bc", True), ("x\u0302y\u0303", "x\u0302\u1ef9", True),
 ]
 
 
