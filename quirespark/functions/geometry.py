@@ -67,19 +67,29 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body (and the lambdas in it) use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
-    """Probabilities of ``logits / temperature``, stable for large values."""
+    """Probabilities of ``logits / temperature``, stable for large values; linear in their number."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    scaled = F.transform(logits, lambda z: z / t)
-    shifted = F.transform(scaled, lambda z: F.exp(z - F.array_max(scaled)))
-    return F.transform(shifted, lambda e: e / total(shifted))
+
+    def shares(powers: Column) -> Column:
+        return bound(total(powers), lambda s: F.transform(powers, lambda e: e / s))
+
+    def powers(scaled: Column) -> Column:
+        return bound(F.array_max(scaled), lambda top: bound(F.transform(scaled, lambda z: F.exp(z - top)), shares))
+
+    return bound(F.transform(logits, lambda z: z / t), powers)
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(total(F.transform(values, lambda v: F.exp(v - top))))
+    """Stable logarithm of the sum of exponentials; linear in their number."""
+    return bound(values, lambda v: bound(F.array_max(v), lambda top: top + F.ln(total(F.transform(v, lambda x: F.exp(x - top))))))
 
 
 def first_max(values: Column) -> Column:
     """Zero-based place of the first largest value."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return bound(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
