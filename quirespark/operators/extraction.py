@@ -20,9 +20,10 @@ BASELINE = (
 )
 # Entity types in declaration order.
 ENTITY_TYPES = ("ORDER_REFERENCE", "INVOICE_NUMBER", "SELLER_NAME", "TOTAL_AMOUNT", "INVOICE_DATE")
-OPEN, CLOSE = "\ue000", "\ue001"
-#: What stands for the two in a text that holds them while it is searched.
-_STAND_INS = "\ufdd0\ufdd1"
+#: Stands on either side of a value; one character, at which the JVM splits without a regular expression.
+MARK = "\ue000"
+#: What stands for it in a text that holds it while it is searched.
+_STAND_IN = "\ufdd0"
 # Python's classes of characters in the JVM's notation.
 _CLASSES = {"s": r"\s\x1c-\x1f", "d": r"\p{Nd}", "w": r"\p{L}\p{N}_"}
 # Capitals that the JVM, other than Python, doesn't hold to be in a range of their small letter's other capital.
@@ -30,6 +31,26 @@ _CAPITALS = "\u0130\u03f4\u1e9e\u2126\u212a\u212b"
 _BOUNDARY = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
 
+_BEFORE_WORD = r"(?<![\p{L}\p{N}_])"
+
+
+def _begins_word(rest: str) -> bool:
+    """Whether what matches the rest of a pattern surely begins with a letter: a letter, or a group whose alternatives all do."""
+    if not rest.startswith("(?:"):
+        return rest[:1].isalpha() and rest[1:2] not in ("?", "*", "{", "|", ")")
+    depth, alternatives = 0, [""]
+    for k, c in enumerate(rest[3:], 3):
+        escaped = rest[k - 1] == "\\"
+        if c == ")" and not escaped and depth == 0:
+            return all(map(_begins_word, alternatives)) and rest[k + 1 : k + 2] not in ("?", "*", "{")
+        depth += 0 if escaped else (c == "(") - (c == ")")
+        if c == "|" and not escaped and depth == 0:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    return False
+
+
 def _jvm(pattern: str) -> str | None:
     """The pattern for the JVM with Python's classes and boundaries; null if it uses something that both treat differently."""
     out, inside, start, begun, k = [], False, 0, 0, 0
@@ -42,7 +63,7 @@ def _jvm(pattern: str) -> str | None:
             elif e.lower() in _CLASSES and not inside:
                 out.append(f"[^{_CLASSES[e.lower()]}]")
             elif e == "b" and not inside:
-                out.append(_BOUNDARY)
+                out.append(_BEFORE_WORD if _begins_word(pattern[k + 2 :]) else _BOUNDARY)
             elif not e or e.isalnum():
                 return None
             else:
@@ -70,7 +91,7 @@ def _jvm(pattern: str) -> str | None:
             continue
         elif c == ".":
             c = "[^\\n]"
-        elif c in "$^" or c in (OPEN, CLOSE) or (c == "(" and pattern[k + 1 : k + 2] == "?" and pattern[k + 2 : k + 3] not in ":P"):
+        elif c in "$^" or c == MARK or (c == "(" and pattern[k + 1 : k + 2] == "?" and pattern[k + 2 : k + 3] not in ":P"):
             return None
         out.append(c)
         k += 1
@@ -120,10 +141,11 @@ def _python_spans(rules: dict[int, Rule]):
 
 
 def _native_spans(text: Column, rules: dict[int, str]) -> Column:
-    """Values are wrapped in two private-use characters and the text is split at them. Each list of parts is a
-    lambda's variable, so it is made once."""
-    safe = F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.translate(text, OPEN + CLOSE, _STAND_INS)).otherwise(text)
-    parts = [F.struct(F.lit(k).alias("rule"), F.split(F.regexp_replace(safe, t, f"${{pre}}{OPEN}${{value}}{CLOSE}"), f"[{OPEN}{CLOSE}]").alias("p")) for k, t in rules.items()]
+    """Values are put between two private-use characters and the text is split at them. Each list of parts is a
+    lambda's variable, so it is made once; a text without a match isn't split."""
+    safe = F.when(text.contains(MARK), F.translate(text, MARK, _STAND_IN)).otherwise(text)
+    marked = F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_replace(safe, t, f"${{pre}}{MARK}${{value}}{MARK}").alias("m")) for k, t in rules.items()])
+    parts = F.transform(F.filter(marked, lambda x: x["m"].contains(MARK)), lambda x: F.struct(x["rule"].alias("rule"), F.split(x["m"], MARK).alias("p")))
 
     def each(x: Column) -> Column:
         def span(m: Column) -> Column:
@@ -132,7 +154,7 @@ def _native_spans(text: Column, rules: dict[int, str]) -> Column:
 
         return F.transform(F.sequence(F.lit(0), (F.size(x["p"]) / 2).cast("int") - 1), span)
 
-    return F.flatten(F.transform(F.filter(F.array(*parts), lambda x: F.size(x["p"]) > 1), each))
+    return F.flatten(F.transform(parts, each))
 
 
 def page_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:

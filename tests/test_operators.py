@@ -77,6 +77,12 @@ def test_the_jvm_finds_what_python_finds(spark, pairs):
     assert sorted(got) == want
 
 
+def test_words_that_surely_begin_a_match():
+    begins = extraction._begins_word
+    assert begins("ab") and begins(r"(?:total\s+a|grand)x") and begins(r"(?:p\.?o\.?|(?:a|b)c)")
+    assert not any(map(begins, ("", "a?b", "(?:a|b?)x", "(?:ab)?c", "(?:ab", r"\wa", "(?:ab|)c", "[a]b")))
+
+
 def test_rules_that_the_jvm_treats_differently_stay_in_python():
     for pattern in (r"a$(?P<value>b)", r"(?=a)(?P<value>b)", r"(a)(?P<value>\1)", r"[\W](?P<value>b)", r"a(?P<value>b)c", r"a(?P<value>b\Z)", r"(?P<value>b)(?P<x>c)"):
         assert extraction.Rule("r", "SELLER_NAME", pattern).tail() is None, pattern
