@@ -16,30 +16,43 @@ keeps every true pair when weights differ.
    the inverted lists after which the residual weight still reaches the bound.
 4. Lists of train and held-out records are joined by component; both sides of a long list are cut into
    parts, and every part meets every part of the other side in a task of its own, however long the list.
-   Partial dot products plus residuals prune again.
+   Each row has a signature of its record, one bit of ``SIGNATURE * 64`` for each component. Bits that only one
+   record of a pair has stand for as many components that the other lacks, at most one for each edit, so
+   most pairs end inside the join and aren't shuffled. Partial dot products plus residuals prune again.
 5. Exact dot products of the remaining pairs, then an exact word edit distance.
 
+Signatures of more than ``LONG`` words are too full to tell pairs apart, and words sent along with each pair would fill
+the disk. Pairs of two such records are found in blocks (``long_links``): a block of train records meets one of held-out
+records of about the same length in one task, each record sent once a task, and no pair leaves it that isn't a link.
+The heads indexed there are longer by k components, whose weight every partner must share.
+
 Texts that are equal are one class from the start; only class representatives are joined. Pairs of records, where they
 are asked for, come from arrays of at most about ``CHUNK`` members of a class and side.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.llm.normalise import forms_of, keys_of, look_alikes
-from quirespark.session import maybe_broadcast, written
+from quirespark.session import maybe_broadcast, release, written
 
 #: Buckets of the weight table: 8 bytes each on the driver and in each Python worker.
 BUCKETS = 1 << 20
 #: Rows of either side that meet in one task of a component's list, about.
 LIST_SIDE = 1 << 11
+#: Words of the longest records whose pairs are told apart by signatures, and a signature's length in 64 bits.
+LONG, SIGNATURE = 160, 4
+#: Words of one side's block of long records, about; matches and places for pairs that are looked at together there.
+BLOCK_WORDS, BLOCK_PAIRS = 1 << 21, 1 << 22
 #: Members of a class and side that are kept in one row, about.
 CHUNK = 1 << 10
 # Ways of writing the split names.
@@ -149,9 +162,39 @@ def list_parts(counts: np.ndarray) -> np.ndarray:
     return np.array([of_train, of_held]).astype(np.int64)
 
 
+def signatures(rows: int, at: np.ndarray, components: np.ndarray) -> np.ndarray:
+    """A bit set for each component of a record, shape (rows, ``SIGNATURE``)."""
+    out = np.zeros((rows, SIGNATURE), np.uint64)
+    bit = (components >> np.uint64(8)) % np.uint64(64 * SIGNATURE)
+    np.bitwise_or.at(out, (at, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def _edits(n: np.ndarray, rate: float) -> np.ndarray:
+    """Most words of a record of ``n`` words that a partner lacks."""
+    return np.floor(rate * n / (1 - rate) + 1e-9).astype(np.int64)
+
+
+def _heads(n: np.ndarray, a: np.ndarray, c: np.ndarray, x: np.ndarray, b: np.ndarray, rate: float, more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the components ``c`` that the other side has too (of record ``a``, weight ``x``, bucket ``b``), the heaviest, ``more`` than the edits left to a record; and
+    by record the weight of the others and the least that a partner shares. ``n``: words by record."""
+    order = np.lexsort((c, -x, a))
+    a, c, x, b = a[order], c[order], x[order], b[order]
+    m = np.bincount(a, minlength=len(n))
+    left = _edits(n, rate) - (n - m)  # edits that may still strike a component of the other side
+    first = np.cumsum(m) - m
+    place = np.arange(len(a)) - first[a]
+    keep = (left[a] >= 0) & (place < left[a] + more[a])
+    whole = np.bincount(a, x, minlength=len(n))
+    head = np.bincount(a, np.where(place < left[a], x, 0), minlength=len(n))
+    indexed = np.bincount(a, np.where(keep, x, 0), minlength=len(n))
+    return a[keep], c[keep], x[keep], b[keep], whole - indexed, whole - head
+
+
 def inverted_lists(classes: DataFrame, counts, buckets: int, rate: float) -> DataFrame:
-    """The components that are indexed: ``side, comp, salt, rep, n, w, rest, bound``. ``counts``
+    """The components that are indexed: ``side, comp, salt, rep, n, w, rest, bound`` and the signature ``s0, s1, ...``. ``counts``
     is the broadcast table of :func:`bucket_counts`."""
+    names = [f"s{j}" for j in range(SIGNATURE)]
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = counts.value
@@ -163,30 +206,19 @@ def inverted_lists(classes: DataFrame, counts, buckets: int, rate: float) -> Dat
             w = weight[b].astype(np.float64)
             reps, n = batch["rep"].to_numpy(object), np.bincount(at, minlength=len(batch))
             hashes = np.array([xxhash.xxh64_intdigest(r) for r in reps], np.uint64)
-            k = np.floor(rate * n / (1 - rate) + 1e-9).astype(np.int64)
+            sig = signatures(len(batch), at, comp).view(np.int64)
             for side, name in enumerate(("in_train", "in_held")):
                 there = batch[name].to_numpy(bool)[at] & (table[1 - side][b] > 0)
-                a, c, x, bb = at[there], comp[there], w[there], b[there]
-                order = np.lexsort((c, -x, a))
-                a, c, x, bb = a[order], c[order], x[order], bb[order]
-                m = np.bincount(a, minlength=len(batch))
-                left = k - (n - m)  # edits that may still strike a component of the other side
-                first = np.concatenate(([0], np.cumsum(m)[:-1]))
-                place = np.arange(len(a)) - first[a]
-                keep = (left[a] >= 0) & (place <= left[a])
-                whole = np.bincount(a, x, minlength=len(batch))
-                head = np.bincount(a, np.where(place < left[a], x, 0), minlength=len(batch))
-                indexed = np.bincount(a, np.where(keep, x, 0), minlength=len(batch))
-                a, c, x, bb = a[keep], c[keep], x[keep], bb[keep]
+                a, c, x, bb, rest, bound = _heads(n, at[there], comp[there], w[there], b[there], rate, np.ones(len(batch), np.int64))
                 own, copies = parts[side][bb], parts[1 - side][bb]
                 part = ((c ^ hashes[a]) >> np.uint64(11)) % own.astype(np.uint64)
                 rows = np.repeat(np.arange(len(a)), copies)
                 a2 = a[rows]
                 other = np.arange(len(rows)) - np.repeat(np.cumsum(copies) - copies, copies)
                 salt = part[rows].astype(np.int64) * copies[rows] + other if side == 0 else other * own[rows] + part[rows].astype(np.int64)
-                yield pd.DataFrame({"side": np.int8(side), "comp": c[rows].view(np.int64), "salt": salt, "rep": reps[a2], "n": n[a2].astype(np.int32), "w": x[rows].astype(np.float32), "rest": (whole - indexed)[a2].astype(np.float32), "bound": (whole - head)[a2].astype(np.float32)})
+                yield pd.DataFrame({"side": np.int8(side), "comp": c[rows].view(np.int64), "salt": salt, "rep": reps[a2], "n": n[a2].astype(np.int32), "w": x[rows].astype(np.float32), "rest": rest[a2].astype(np.float32), "bound": bound[a2].astype(np.float32)} | {s: sig[a2, j] for j, s in enumerate(names)})
 
-    return classes.mapInPandas(lists, "side byte, comp long, salt long, rep string, n int, w float, rest float, bound float")
+    return classes.mapInPandas(lists, "side byte, comp long, salt long, rep string, n int, w float, rest float, bound float, " + ", ".join(f"{s} long" for s in names))
 
 
 def word_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -218,6 +250,21 @@ def word_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row[-1], most + 1))
 
 
+def _linked(wa: np.ndarray, wb: np.ndarray, bound: float, weight: np.ndarray, buckets: int, rate: float) -> tuple[int, float] | None:
+    """Distance and cosine of two records' words, if they are near enough."""
+    ca, cb = _components([wa])[1], _components([wb])[1]
+    common = np.intersect1d(ca, cb, assume_unique=True)
+    dot = float(weight[_bucket(common, buckets)].sum())
+    most = int(np.floor(rate * max(len(wa), len(wb)) + 1e-9))
+    if dot < bound * (1 - 1e-4) - 1e-3 or max(len(wa), len(wb)) - len(common) > most:
+        return None
+    d = word_distance(wa, wb, most)
+    if d > most:
+        return None
+    norm = float(weight[_bucket(ca, buckets)].sum() * weight[_bucket(cb, buckets)].sum()) ** 0.5
+    return d, dot / norm if norm else 1.0
+
+
 def _verify(counts, buckets: int, rate: float):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = None
@@ -226,20 +273,75 @@ def _verify(counts, buckets: int, rate: float):
                 weight = _weights(counts.value)
             out = []
             for a, b, wa, wb, bound in zip(batch["rep_t"], batch["rep_h"], batch["words_t"], batch["words_h"], batch["bound"]):
-                ca, cb = _components([wa])[1], _components([wb])[1]
-                dot = float(weight[_bucket(np.intersect1d(ca, cb, assume_unique=True), buckets)].sum())
-                if dot < bound * (1 - 1e-4) - 1e-3:
-                    continue
-                most = int(np.floor(rate * max(len(wa), len(wb)) + 1e-9))
-                d = word_distance(wa, wb, most)
-                if d <= most:
-                    norm = float(weight[_bucket(ca, buckets)].sum() * weight[_bucket(cb, buckets)].sum()) ** 0.5
-                    out.append((a, b, d, dot / norm if norm else 1.0))
+                if link := _linked(wa, wb, bound, weight, buckets, rate):
+                    out.append((a, b, *link))
             yield pd.DataFrame(out, columns=["rep_t", "rep_h", "distance", "cosine"])
 
     return verify
 
 
+def _block_pairs(sides: list[list[np.ndarray]], table: np.ndarray, weight: np.ndarray, buckets: int, rate: float) -> Iterator[tuple[int, int, float]]:
+    """Places and bound of the pairs of a train and a held-out block whose heads share enough weight."""
+    heads = []
+    for side, words in enumerate(sides):
+        at, comp = _components(words)
+        b = _bucket(comp, buckets)
+        n = np.array([len(r) for r in words])
+        there = table[1 - side][b] > 0
+        heads.append((n, *_heads(n, at[there], comp[there], weight[b[there]].astype(np.float64), b[there], rate, _edits(n, rate) + 1)))
+    (n_t, a_t, c_t, x_t, _, rest_t, bound_t), (n_h, a_h, c_h, _, _, rest_h, bound_h) = heads
+    order = np.argsort(c_h, kind="stable")
+    a_h, c_h = a_h[order], c_h[order]
+    low = np.searchsorted(c_h, c_t, "left")
+    matches = np.searchsorted(c_h, c_t, "right") - low
+    # train records are taken together as far as their matches and pairs have room
+    cost = np.bincount(a_t, matches, minlength=len(n_t)) + len(n_h)
+    part = np.floor(np.cumsum(cost) / BLOCK_PAIRS)
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(n_t)]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        at = slice(*np.searchsorted(a_t, (i, j)))
+        some = matches[at]
+        rows = np.repeat(np.arange(len(some)), some)
+        of_held = a_h[low[at][rows] + np.arange(len(rows)) - (np.cumsum(some) - some)[rows]]
+        dot = np.bincount((a_t[at][rows] - i) * len(n_h) + of_held, x_t[at][rows], minlength=(j - i) * len(n_h)).reshape(j - i, len(n_h))
+        t = slice(i, j)
+        longer, bound = np.maximum(n_t[t, None], n_h), np.maximum(bound_t[t, None], bound_h)
+        near = (dot > 0) & (np.abs(n_t[t, None] - n_h) <= np.floor(longer * rate + 1e-9))
+        near &= dot + np.maximum(rest_t[t, None], rest_h) >= bound * (1 - 1e-4) - 1e-3
+        for x, y in zip(*np.nonzero(near)):
+            yield i + x, y, bound[x, y]
+
+
+def long_links(reps: DataFrame, counts, buckets: int, rate: float) -> DataFrame:
+    """``rep_t, rep_h, distance, cosine`` of the pairs of records of more than ``LONG`` words. Records are put into classes by
+    length, so that partners are in the same class or in two next to each other, and classes into blocks; every two blocks
+    that may hold partners are a task."""
+    width = max(-math.log1p(-rate), 0.01) * 1.001
+    longs = reps.where(F.size("words") > LONG).withColumn("length", F.floor(F.log(F.size("words")) / width))
+    sums = longs.groupBy("length").agg(*[F.coalesce(F.sum(F.when(F.col(c), F.size("words"))), F.lit(0)) for c in ("in_train", "in_held")]).collect()
+    blocks = [{r[0]: -(-r[side] // BLOCK_WORDS) for r in sums if r[side]} for side in (1, 2)]
+    tasks = [(c, i, e, j) for c, of_train in blocks[0].items() for e in (c - 1, c, c + 1) for i in range(of_train) for j in range(blocks[1].get(e, 0))]
+    plan = [(k, True, c, blocks[0][c], i) for k, (c, i, _, _) in enumerate(tasks)] + [(k, False, e, blocks[1][e], j) for k, (_, _, e, j) in enumerate(tasks)]
+    types = {"task": pa.int32(), "train": pa.bool_(), "length": pa.int64(), "blocks": pa.int64(), "block": pa.int64()}
+    plan = reps.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(list(zip(*plan)) or [[]] * 5, types.values())], names=list(types)))
+    here = (F.pmod(F.xxhash64("rep"), F.col("blocks")) == F.col("block")) & F.when(F.col("train"), F.col("in_train")).otherwise(F.col("in_held"))
+    placed = longs.join(maybe_broadcast(plan), "length").where(here).select("task", "train", "rep", "words")
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        table = counts.value
+        weight = _weights(table)
+        sides = [block[block["train"]], block[~block["train"]]]
+        out = []
+        if len(sides[0]) and len(sides[1]):
+            (reps_t, words_t), (reps_h, words_h) = ((list(x["rep"]), list(x["words"])) for x in sides)
+            for i, j, bound in _block_pairs([words_t, words_h], table, weight, buckets, rate):
+                if reps_t[i] != reps_h[j] and (link := _linked(words_t[i], words_h[j], bound, weight, buckets, rate)):
+                    out.append((reps_t[i], reps_h[j], *link))
+        return pd.DataFrame(out, columns=["rep_t", "rep_h", "distance", "cosine"])
+
+    return placed.groupBy("task").applyInPandas(links, "rep_t string, rep_h string, distance int, cosine double")
+
+
 class Overlap:
     """Cross-split overlaps of ``records`` (``id, split``) with the pages in ``tokens``.
 
@@ -268,12 +370,15 @@ class Overlap:
             F.col("document_id").alias("rep"), F.coalesce("class_train", "in_train").alias("in_train"), F.coalesce("class_held", "in_held").alias("in_held"), "words"
         )
         counts = spark.sparkContext.broadcast(bucket_counts(reps, buckets))
-        lists = inverted_lists(reps, counts, buckets, rate)
-        train, held = (lists.where(F.col("side") == s).drop("side").select(*[F.col(c).alias(c if c in ("comp", "salt") else f"{c}_{x}") for c in ("comp", "salt", "rep", "n", "w", "rest", "bound")]) for s, x in ((0, "t"), (1, "h")))
+        short = reps.where(F.size("words") <= math.ceil(LONG / (1 - rate)) + 1)  # with the partners of those of at most LONG words
+        lists = inverted_lists(short, counts, buckets, rate)
+        train, held = (lists.where(F.col("side") == s).drop("side").select(*[F.col(c).alias(c if c in ("comp", "salt") else f"{c}_{x}") for c in lists.columns if c != "side"]) for s, x in ((0, "t"), (1, "h")))
         longer, bound = F.greatest("n_t", "n_h"), F.greatest("bound_t", "bound_h")
+        lacking = F.greatest(*[sum((F.bit_count(F.col(f"s{j}_{x}").bitwiseAND(F.bitwise_not(F.col(f"s{j}_{y}")))) for j in range(SIGNATURE)), F.lit(0)) for x, y in ("th", "ht")])
+        most = F.floor(longer * rate + 1e-9)
         pairs = (
             train.join(held, ["comp", "salt"])
-            .where((F.col("rep_t") != F.col("rep_h")) & (F.abs(F.col("n_t") - F.col("n_h")) <= F.floor(longer * rate + 1e-9)))
+            .where((F.col("rep_t") != F.col("rep_h")) & (F.least("n_t", "n_h") <= LONG) & (F.abs(F.col("n_t") - F.col("n_h")) <= most) & (lacking <= most))
             .groupBy("rep_t", "rep_h").agg(F.sum("w_t").alias("dot"), F.max(bound).alias("bound"), F.max(F.greatest("rest_t", "rest_h")).alias("rest"))
             .where(F.col("dot") + F.col("rest") >= F.col("bound") * (1 - 1e-4) - 1e-3).select("rep_t", "rep_h", "bound")
         )
@@ -284,7 +389,9 @@ class Overlap:
         full = pairs.join(vectors.withColumnsRenamed({"rep": "rep_t", "words": "words_t"}), "rep_t").join(vectors.withColumnsRenamed({"rep": "rep_h", "words": "words_h"}), "rep_h")
         full = full.select("rep_t", "rep_h", "words_t", "words_h", "bound")
         self.candidates = pairs
-        self.links = written(full.mapInPandas(_verify(counts, buckets, rate), "rep_t string, rep_h string, distance int, cosine double"), "overlap-links")
+        links = full.mapInPandas(_verify(counts, buckets, rate), "rep_t string, rep_h string, distance int, cosine double")
+        self.links = written(links.unionByName(long_links(reps, counts, buckets, rate)), "overlap-links")
+        release(words, ends, vectors)
 
     def _chunks(self, side: str, rep: str, ids: str) -> DataFrame:
         """Members of a side by class, in arrays of about ``CHUNK``."""

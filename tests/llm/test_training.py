@@ -109,6 +109,53 @@ def test_overlaps_of_hot_classes_and_long_lists(spark, monkeypatch):
     assert got["c01"] == ("c00", sum(a == "c01" for a, _ in want)) and got["c00"][1] == sum("c00" in p for p in want)
 
 
+def test_overlaps_of_long_records_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "LONG", 12)
+    monkeypatch.setattr(overlap, "BLOCK_WORDS", 300)
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefghijklmnopqrst") for _ in range(rng.choice((8, 11, 14, 20, 32)))] for _ in range(12)]
+    texts = {}
+    for k in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, len(t) // 3)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.choice((0, 1))] = rng.choice(([], [rng.choice("abcxyz")]))
+        texts[f"d{k:03}"] = t
+    side = {d: rng.choice(["train", "test", "dev"]) for d in texts}
+    want = {(a, b) for a in texts for b in texts if side[a] == "train" != side[b] and brute_distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b])) + 1e-9}
+    shortest = [min(len(texts[a]), len(texts[b])) > 12 for a, b in want if texts[a] != texts[b]]
+    assert min(sum(shortest), len(shortest) - sum(shortest)) >= 20
+    records = spark.createDataFrame(list(side.items()), "id string, split string")
+    tokens = spark.createDataFrame(token_rows({d: " ".join(t) for d, t in texts.items()}), TOKEN)
+    assert sorted((r["train_id"], r["held_id"]) for r in overlap.Overlap(records, tokens).pairs().collect()) == sorted(want)
+
+
+def test_unlike_records_are_no_candidates(spark):
+    rng = random.Random(3)
+    texts = {f"d{k:02}": [f"w{rng.randrange(n * 6)}" for _ in range(n)] for k, n in enumerate([40] * 60 + [300] * 20)}
+    for k in (0, 60):  # two true pairs
+        texts[f"d{k + 1:02}"] = ["changed", *texts[f"d{k:02}"][1:]]
+    records = spark.createDataFrame([(d, "test" if int(d[1:]) % 2 else "train") for d in texts], "id string, split string")
+    o = overlap.Overlap(records, spark.createDataFrame(token_rows({d: " ".join(t) for d, t in texts.items()}), TOKEN))
+    assert {(r["train_id"], r["held_id"]) for r in o.pairs().collect()} == {("d00", "d01"), ("d60", "d61")}
+    assert o.candidates.count() < 5  # hundreds share a word
+
+
+def test_pairs_of_blocks_hold_every_near_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 3000, 200) for _ in range(6)]
+    sides = [[np.where(rng.random(200) < rng.choice((0.02, 0.1, 0.3)), rng.integers(0, 3000, 200), base[rng.integers(6)]) for _ in range(30)] for _ in range(2)]
+    mixed = [[overlap._mix(r, np.full(len(r), 1)).view(np.int64) for r in x] for x in sides]
+    table = np.array([np.bincount(overlap._bucket(overlap._components(x)[1], 1 << 12), minlength=1 << 12) for x in mixed])
+    near = {(i, j) for i, a in enumerate(mixed[0]) for j, b in enumerate(mixed[1]) if overlap.word_distance(a, b, 40) <= 40}
+    got = []
+    for room in (1, 500, 1 << 22):
+        monkeypatch.setattr(overlap, "BLOCK_PAIRS", room)
+        got.append([(i, j) for i, j, _ in overlap._block_pairs(mixed, table, overlap._weights(table), 1 << 12, 0.2)])
+    assert near and near <= set(got[0]) and got[0] == got[1] == got[2]
+    assert len(got[0]) < 2 * len(near)
+
+
 # ---- p3
 
 HEAD = "name string, split_strategy struct<method:string,grouping_keys:array<string>>, target_share struct<training:double,validation:double,test:double>"
